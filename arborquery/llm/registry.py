@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii
+from . import bpe, matroska, pii, unigram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": pii.op1_pii,
+        "op7_media": matroska.op7_media,
+        "op8_token_counts": unigram.op8_token_counts,
         "op10_bpe": bpe.op10_bpe,
     }
 
