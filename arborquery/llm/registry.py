@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, matroska, pii, unigram
+from . import bpe, decontamination, matroska, ngram_join, pii, unigram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": pii.op1_pii,
+        "op6_decontamination": decontamination.op6_decontamination,
         "op7_media": matroska.op7_media,
         "op8_token_counts": unigram.op8_token_counts,
+        "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_bpe": bpe.op10_bpe,
     }
 
