@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, matroska, ngram_join, pii, toxicity, unigram
+from . import bpe, decontamination, language_model, matroska, ngram_join, pii, toxicity, unigram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": pii.op1_pii,
         "op2_toxicity": toxicity.op2_toxicity,
+        "op4_language_model": language_model.op4_language_model,
         "op6_decontamination": decontamination.op6_decontamination,
         "op7_media": matroska.op7_media,
         "op8_token_counts": unigram.op8_token_counts,
