@@ -10,11 +10,12 @@ ones, then single shingles, and empty segments, which match anything empty, last
 spare segments do, index no deletions.
 
 Segment keys go through one packed exchange. Documents that share a key are tied to the least of them and these pairs
-are verified with whole sets. Where members of a key are then still in different classes, their fine sketches (one
-byte for each of many ranges) are held against each other: as many elements differ as bytes do, so pairs with more
-differing bytes than allowed cannot be linked, and only the rest is verified. So every link counts, directly or
-through others, while groups of copies take about as many verifications as they have members. Keys of empty or
-single-shingle segments, which unlike documents share, are salted.
+are verified with whole sets. Where members of a family (what the pairs tie together) are then still in different
+classes, their fine sketches (one byte for each of many ranges) are held against each other, in a large family those
+of one key at a time: at least as many elements differ as bytes do, so pairs with more differing bytes than allowed
+cannot be linked, and only the rest is verified. So every link counts, directly or through others, while groups of
+copies take about as many verifications as they have members. Keys of empty or single-shingle segments, which unlike
+documents share, are salted.
 
 Defined cases: a null or empty text or one without words has no shingles, links with nothing and is its own class;
 with fewer words than a shingle the whole sequence is the one shingle; rows that repeat a doc_id are one node, linked
@@ -287,12 +288,6 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, s: Scheme, sketch: bool
     roles = dealt.select(F.col("b").alias("doc_id"), "a", "part").unionAll(dealt.select(F.col("a").alias("doc_id"), "a", "part").distinct())
     texts = docs.join(roles, "doc_id").select("doc_id", "a", "part", "text")
 
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, first = fingerprints(batch.column(3).to_pylist(), k)
-            cut = [values[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cut, pa.binary())], ["doc_id", "a", "part", "prints"])
-
     def alike(x: np.ndarray, y: np.ndarray) -> bool:
         small, large = (x, y) if len(x) < len(y) else (y, x)
         most = s.apart(len(x), len(y))
@@ -303,7 +298,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, s: Scheme, sketch: bool
 
     def reduced(table: pa.Table) -> pa.Table:
         a = table.column("a")[0].as_py()
-        rows = [(d, np.frombuffer(x.as_py(), U)) for d, x in zip(table.column("doc_id").to_pylist(), table.column("prints"), strict=True)]
+        values, first = fingerprints(table.column("text").to_pylist(), k)
+        rows = [(d, values[x:y]) for d, x, y in zip(table.column("doc_id").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True)]
         mine, out = [x for d, x in rows if d == a], []
         for d, x in rows:
             cells = sketches(x, s) if sketch else {}
@@ -312,8 +308,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, s: Scheme, sketch: bool
         kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["a", "b", "linked", "n", "level", "cells", "upper"])
 
-    prints = map_arrow(texts, mapped, "doc_id long, a long, part long, prints binary")
-    return prints.groupBy("a", "part").applyInArrow(reduced, "a long, b long, linked boolean, n long, level int, cells binary, upper binary")
+    return texts.groupBy("a", "part").applyInArrow(reduced, "a long, b long, linked boolean, n long, level int, cells binary, upper binary")
 
 
 def near(n: np.ndarray, level: np.ndarray, cells: list[bytes], upper: list[bytes | None], label: np.ndarray, minor: np.ndarray, first: bool, s: Scheme) -> list[tuple[int, int]]:
@@ -341,12 +336,15 @@ def near(n: np.ndarray, level: np.ndarray, cells: list[bytes], upper: list[bytes
     return out
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, marks: DataFrame, s: Scheme) -> DataFrame:
-    """Pairs (a, b) that share a key, are in different classes and may be linked by their sketches."""
-    named = members.join(labels, "node", "left").select("met", "node", F.coalesce("label", "node").alias("label"))
+def _open_pairs(members: DataFrame, classed: DataFrame, s: Scheme) -> DataFrame:
+    """Pairs (a, b) of one family that are in different classes and may be linked by their sketches; classed: (node,
+    label, family, n, level, cells, upper), members: (met, node) of keys."""
+    large = classed.groupBy("family").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK).select("family")
+    named = classed.join(large, "family", "left_anti").select(F.col("family").alias("met"), "node", "label")
+    named = named.unionAll(members.join(classed.join(large, "family", "left_semi").select("node", "label"), "node").select("met", "node", "label"))
     major = named.groupBy("met", "label").agg(F.count("*").alias("n")).groupBy("met").agg(F.max(F.struct("n", "label"))["label"].alias("major"), F.count("*").alias("labels"), F.sum("n").alias("n"))
     major = major.filter("labels > 1").select("met", "major", F.ceil(F.col("n") / BLOCK).alias("parts"))
-    open_ = named.join(major, "met").join(marks, "node").withColumn("minor", F.col("label") != F.col("major"))
+    open_ = named.join(major, "met").join(classed.drop("label", "family"), "node").withColumn("minor", F.col("label") != F.col("major"))
     every = F.explode(F.when(F.col("minor"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), "parts"))))
     dealt = open_.select("met", every.alias("part"), "node", "label", "minor", "n", "level", "cells", "upper")
 
@@ -361,6 +359,13 @@ def _open_pairs(members: DataFrame, labels: DataFrame, marks: DataFrame, s: Sche
     return dealt.groupBy("met", "part").applyInArrow(reduced, "a long, b long").filter("a < b").distinct()
 
 
+def _classed(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs' classes."""
+    for end in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("node").alias(end), "label"), end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
+    return pairs
+
+
 def classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """(node, label): documents with a link, and the smallest doc_id reachable from each."""
     docs = ids_and_texts(docs).filter("doc_id IS NOT NULL")
@@ -369,15 +374,15 @@ def classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFram
     pairs = found.filter("kind = 0").select("a", "b").distinct()
     tested = written(_verified(docs, pairs, k, s, True), "join-tested")
     labels = components(tested.filter("linked").select("a", "b").unionAll(found.filter("kind = 1").select("a", "b")))
+    apart = _classed(tested.filter("NOT linked AND a <> b").select("a", "b"), labels)
+    families = components(apart).select(F.col("node").alias("label"), F.col("label").alias("family"))
     marks = tested.filter("level >= 0").dropDuplicates(["b", "n"]).select(F.col("b").alias("node"), "n", "level", "cells", "upper")
+    classed = marks.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(families, "label")
     members = found.filter("kind = 2").select(F.col("a").alias("met"), F.col("b").alias("node")).distinct()
-    more = written(_open_pairs(members, labels, marks, s).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "join-more")
+    more = written(_open_pairs(members, classed, s).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "join-more")
     if more.isEmpty():
         return labels
-    late = _verified(docs, more, k, s, False).filter("linked").select("a", "b")
-    for end in ("a", "b"):  # links between classes
-        late = late.join(labels.select(F.col("node").alias(end), "label"), end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
-    merged = components(late).select(F.col("node").alias("label"), F.col("label").alias("least"))
+    merged = components(_classed(_verified(docs, more, k, s, False).filter("linked").select("a", "b"), labels)).select(F.col("node").alias("label"), F.col("label").alias("least"))
     joined = labels.join(merged, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
     alone = merged.join(labels, merged["label"] == labels["node"], "left_anti").select(F.col("label").alias("node"), F.col("least").alias("label"))
     return written(joined.unionAll(alone), "join-classes")

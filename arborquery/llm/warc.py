@@ -174,14 +174,14 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(sha1(payload).digest()).decode()
 
 
-def make_record(page_id: int, url: str, payload: bytes, refers_to: int | None) -> bytes:
+def make_record(page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> bytes:
     """A response, or a revisit of another page's response, uncompressed."""
     name = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}:{url}")
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     lines = [
         "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {' '.join(url.split())}", f"WARC-Payload-Digest: sha1:{digest(payload)}", f"X-Page-Id: {page_id}", f"X-Payload-Length: {len(payload)}",
+        f"WARC-Target-URI: {' '.join(url.split())}", f"WARC-Payload-Digest: sha1:{digest(payload)}", f"X-Page-Id: {'' if page_id is None else page_id}", f"X-Payload-Length: {len(payload)}",
         "Content-Type: application/http; msgtype=response",
     ]
     if refers_to is not None:
@@ -198,11 +198,11 @@ class Package:
         self.lines: list[str] = []
         self.size = 0
 
-    def add(self, page_id: int, url: str, payload: bytes, refers_to: int | None) -> None:
+    def add(self, page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> None:
         packer = zlib.compressobj(1, zlib.DEFLATED, 31)
         data = packer.compress(make_record(page_id, url, payload, refers_to)) + packer.flush()
         entry = {"url": url, "mime": "text/html" if refers_to is None else "warc/revisit", "digest": digest(payload), "filename": DATA.partition("/")[2], "offset": self.size, "length": len(data)}
-        self.lines.append(f"{page_id:020d} {DATE} {json.dumps(entry)}")
+        self.lines.append(f"{page_id or 0:020d} {DATE} {json.dumps(entry)}")
         self.parts.append(data)
         self.size += len(data)
 
@@ -255,7 +255,7 @@ def packed(pages: DataFrame, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
 
         for batch in batches:
             for page_id, url, html, refers in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                package.add(page_id if page_id is not None else -1, url, html, refers)
+                package.add(page_id, url, html, refers)
                 if package.size >= package_bytes:
                     yield close()
                     package = Package()
@@ -276,7 +276,7 @@ def read_back(packages: DataFrame) -> DataFrame:
                     h = record.headers
                     revisit = h["warc-type"] == "revisit"
                     n, sum_ = (int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:")) if revisit else (len(record.payload), digest(record.payload))
-                    rows.append((int(h["x-page-id"]), n, sum_, h["warc-type"], int(h["x-refers-to-page"]) if revisit else None, name, int(entry["offset"])))
+                    rows.append((int(h["x-page-id"]) if h["x-page-id"] else None, n, sum_, h["warc-type"], int(h["x-refers-to-page"]) if revisit else None, name, int(entry["offset"])))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "package", "record_offset"])
 

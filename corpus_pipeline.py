@@ -1,24 +1,50 @@
-"""The training-data pipeline: stages over documents, each written as Parquet and reread as the next one's input."""
+"""The training-data pipeline: stages over documents, each written as Parquet and reread as the next one's input.
+
+Toxic documents go; of each class of near copies (five-word shingles, Jaccard similarity of 0.8 or more) the smallest
+doc_id stays; documents that contain a benchmark item go; personal data is masked; what is left is encoded. Each stage
+works on all that the one before kept. Null texts pass as they are and count as empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborquery.llm import bpe, pii
+from arborquery.llm import bpe, decontamination, ngram_join, pii, toxicity
 from arborquery.llm.common import documents, written
 
 
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents whose toxicity score is 0.5 or more."""
+    return toxicity.accepted(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of near copies."""
+    return ngram_join.representatives(docs, 5, 4, 5)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that contain a benchmark item."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data masked in every text; no document goes."""
+    """Masks personal data in every text; no document goes."""
     return pii.masked(docs)
 
 
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every text that is left."""
     return bpe.digests(docs)
 
 
-STAGES = [("private data", private_data), ("tokens", tokens)]
+STAGES = [
+    ("toxic documents", toxic_documents),
+    ("near duplicates", near_duplicates),
+    ("benchmark leaks", benchmark_leaks),
+    ("private data", private_data),
+    ("token ids", token_ids),
+]
 
 #: SQL cannot express these stages.
 ORACLE_SQL = None
