@@ -32,7 +32,7 @@ from .common import documents, fold, ids_and_texts, map_arrow, written
 
 U = np.uint64
 #: Labelled documents that the classifier is fitted on, at most about; a larger table is sampled by a hash of the id.
-SAMPLE = 50_000
+SAMPLE = 20_000
 FOLDS, HELD_OUT = 5, 0
 PREFIXES = (4, 5, 6)
 #: Parts of the sample for calibration.
@@ -170,9 +170,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             cell = batch.column(1).to_numpy().astype(np.int64) * PARTS + batch.column(2).to_numpy()
             w, features = _features(batch.column(0).to_pylist())
             text = np.tile(w.text, len(features))
-            pairs = np.unique(np.stack([np.concatenate(features), text.astype(U)], 1), axis=0)
-            h, at = np.unique(pairs[:, 0], return_inverse=True)
-            table = np.bincount(at * (2 * PARTS) + cell[pairs[:, 1].astype(np.int64)], minlength=len(h) * 2 * PARTS).reshape(-1, 2 * PARTS)
+            every = np.concatenate(features)
+            _, once = np.unique(every ^ shingles.mix(text.astype(U) + U(1)), return_index=True)  # each feature of a text
+            h, at = np.unique(every[once], return_inverse=True)
+            table = np.bincount(at * (2 * PARTS) + cell[text[once]], minlength=len(h) * 2 * PARTS).reshape(-1, 2 * PARTS)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *(pa.array(c.astype(np.int64)) for c in table.T)], ["h", *cells])
 
     cells = [f"n{i}" for i in range(2 * PARTS)]
@@ -196,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     views = [(None, total), *((p, total - sizes[:, p]) for p in range(PARTS))]
     columns = lambda row, p: [sum(row[cells[k * PARTS + i]] for i in range(PARTS) if i != p) for k in (0, 1)]
     passes = [F.abs(odds(*columns(counts, p), float(n[0]), float(n[1]), F.log, F.sqrt)[1]) >= LEAST_Z for p, n in views]
-    table = counts.filter("+".join(cells) + " >= 3").filter(F.array_contains(F.array(*passes), True)).toPandas()
+    table = counts.filter("+".join(cells) + " >= 3").filter(F.array_contains(F.array(*passes), True)).toArrow().to_pandas()
     order = np.argsort(table["h"].to_numpy(np.int64).view(U))
     keys, models = table["h"].to_numpy(np.int64).view(U)[order], []
     for p, n in views:
@@ -209,18 +210,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             texts, part = batch.column(0).to_pylist(), batch.column(2).to_numpy()
             for p in np.unique(part).tolist():
                 own = np.flatnonzero(part == p)
+                toxic = batch.column(1).to_numpy()[own]
                 n, segments, events = _scan([texts[i] for i in own], models[1 + p])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).take(pa.array(own)), pa.array(n, pa.int64()), pa.array([[s[2] for s in x] for x in segments], pa.list_(pa.float64())), pa.array([e.tolist() for e in events], pa.list_(pa.float64()))],
-                    ["toxic", "n", "segments", "events"],
-                )
-
-    seen = map_arrow(rows, scan, "toxic int, n long, segments array<double>, events array<double>").toPandas()
+                # then, as rows of kind -1, how often clean tokens have which score
+                values, many = np.unique(np.round(np.concatenate([np.empty(0), *(e for e, x in zip(events, toxic, strict=True) if not x)]), 2), return_counts=True)
+                kept = [[s[2] for s in x] for x in segments] + [[v] for v in values.tolist()]
+                columns = [pa.array(np.append(toxic, np.full(len(values), -1)), pa.int32()), pa.array(np.append(n, many), pa.int64()), pa.array(kept, pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["toxic", "n", "segments"])
+
+    seen = map_arrow(rows, scan, "toxic int, n long, segments array<double>").toArrow().to_pandas()
+    events, seen = seen[seen["toxic"] < 0], seen[seen["toxic"] >= 0]
     clean = seen[seen["toxic"] == 0]
-    events = np.concatenate([[float(models[0].odds.max(initial=1.0)) - DRIFT], *clean["events"]])
-    plain = max(1, int(clean["n"].sum()) - len(events) + 1)
-    values, many = np.unique(np.append(events, -DRIFT), return_counts=True)
-    many = np.where(values == -DRIFT, many + plain - 1, many)
+    values = np.array([float(models[0].odds.max(initial=1.0)) - DRIFT, *(v[0] for v in events["segments"]), -DRIFT])
+    many = np.array([1, *events["n"], max(1, int(clean["n"].sum()) - int(events["n"].sum()))])
     lam = _lambda(values, many)
     best = np.array([max(s, default=0.0) for s in clean["segments"]])
     k = len(clean) / float((np.maximum(clean["n"].to_numpy(), 1) * np.exp(-lam * best)).sum())
