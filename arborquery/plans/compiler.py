@@ -24,10 +24,17 @@ from .errors import IncompletePredicate, InvalidParameter
 from .rewrite import flatten, optimize
 
 #: Columns of entries; what a table lacks is taken as null, and the predicates that need it do not hold.
-ENTRIES = T.StructType.fromDDL(
-    "entry_id BIGINT, ftype STRING, path STRING, basename STRING, parent_path STRING, depth INT, is_root BOOLEAN, n_children INT, size BIGINT, inode BIGINT, mode INT, uid INT, gid INT, "
-    "atime TIMESTAMP, mtime TIMESTAMP, ctime TIMESTAMP, link_target STRING, r_ok BOOLEAN, w_ok BOOLEAN, x_ok BOOLEAN, user_known BOOLEAN, group_known BOOLEAN, stat_ok BOOLEAN"
-)
+_TYPES = {"long": T.LongType(), "string": T.StringType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
+ENTRIES = T.StructType(
+    [
+        T.StructField(name, _TYPES[kind])
+        for kind, names in (
+            ("long", "entry_id"), ("string", "ftype path basename parent_path"), ("int", "depth"), ("boolean", "is_root"), ("int", "n_children"), ("long", "size inode"), ("int", "mode uid gid"),
+            ("timestamp", "atime mtime ctime"), ("string", "link_target"), ("boolean", "r_ok w_ok x_ok user_known group_known stat_ok"),
+        )
+        for name in names.split()
+    ]
+)
 
 _ids = itertools.count()
 
