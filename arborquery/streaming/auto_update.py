@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import logging
-import threading
 
 from ..engine import Engine
 
@@ -18,20 +17,18 @@ class AutoUpdate:
         self.updates = 0
         self._skip = not immediate
         self._query = None
-        self._lock = threading.Lock()
 
     def _turn(self, _batch, _number: int) -> None:
         if self._skip:
             self._skip = False
             return
-        with self._lock:
-            try:
-                if self.settings_path:
-                    self.engine.settings = type(self.engine.settings).load(self.settings_path)
-                self.engine.update()
-                self.updates += 1
-            except Exception:
-                _log.exception("the index could not be updated")
+        try:
+            if self.settings_path:
+                self.engine.settings = type(self.engine.settings).load(self.settings_path)
+            self.engine.update()
+            self.updates += 1
+        except Exception:
+            _log.exception("the index could not be updated")
 
     def start(self) -> AutoUpdate:
         ticks = self.engine.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
@@ -40,8 +37,7 @@ class AutoUpdate:
 
     def stop(self) -> None:
         if self._query is not None:
-            with self._lock:
-                self._query.stop()
+            self._query.stop()
             self._query = None
 
     def __enter__(self) -> AutoUpdate:

@@ -31,7 +31,7 @@ def test_printing(engine, tmp_path):
     assert target.read_text().count("\0") == 31
     out = io.StringIO()
     engine.run("-print -a -type l -o -print0", out=out)
-    assert (out.getvalue().count("\n"), out.getvalue().count("\0")) == (31, 0)
+    assert (out.getvalue().count("\n"), out.getvalue().count("\0")) == (31, 30)
     out = io.StringIO()
     engine.run("-name file0 -a -print -a -quit 3", out=out)
     assert out.getvalue().count("\n") == 3

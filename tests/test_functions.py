@@ -32,6 +32,8 @@ def slow_ratio(text, needle):
     if len(text) < len(needle):
         text, needle = needle, text
     best = 0.0
+    if not needle:
+        return best
     for start in range(1 - len(needle), len(text)):
         window = text[max(0, start) : start + len(needle)]
         row = [0] * (len(needle) + 1)
