@@ -125,16 +125,27 @@ def _probability(x: tuple[float, float], model: Model) -> float:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Weights of an intercept and the columns, lightly regularised, by Newton steps."""
-    x = np.column_stack([np.ones(len(x)), x])
-    w, ridge = np.zeros(x.shape[1]), np.diag([1e-6, *[1e-2] * (x.shape[1] - 1)])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
-        w += step
-        if np.abs(step).max() < 1e-9:
+    """Weights of an intercept and the columns, lightly regularised, by Newton steps that are halved until they help."""
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
+    w, ridge = np.zeros(z.shape[1]), np.array([1e-6, *[1e-4] * (z.shape[1] - 1)]) * len(x)
+
+    def loss(w: np.ndarray) -> float:
+        m = z @ w
+        return float((np.logaddexp(0, m) - y * m).sum() + 0.5 * (ridge * w * w).sum())
+
+    now = loss(w)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge + 1e-9), z.T @ (y - p) - ridge * w)
+        size = 1.0
+        while (new := loss(w + size * step)) > now and size > 1e-6:
+            size /= 2
+        if not new < now - 1e-9 * abs(now):
             break
-    return tuple(w.tolist())
+        w, now = w + size * step, new
+    slope = w[1:] / scale
+    return (float(w[0] - (slope * mean).sum()), *slope.tolist())
 
 
 def _lambda(scores: np.ndarray, counts: np.ndarray) -> float:
