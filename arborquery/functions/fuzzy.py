@@ -11,9 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Characters of a needle that fit into the expression's machine word.
 LONGEST = 62
 
@@ -101,6 +103,8 @@ def partial_ratio(text: str, needle: str) -> float:
 
 def similarity_udf(needle: str):
     """The score as a vectorized function of a text column, for long texts and long needles."""
+    if session := SparkSession.getActiveSession():
+        ship(session)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -20,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..plans.compiler import ENTRIES
+from ..shipping import ship
 
 #: Subtrees are split until there are about so many, and rows of a batch.
 SUBTREES, ROWS = 64, 8192
@@ -168,12 +169,14 @@ class FileTree(DataSource):
 
 def crawl(spark: SparkSession, root: str, ignored: list[str] = (), slow: list[str] = ()):
     """The entries below a root, and the root."""
+    ship(spark)
     spark.dataSource.register(FileTree)
     return spark.read.format("filetree").option("root", root).option("ignored", "\n".join(ignored)).option("slow", "\n".join(slow)).load()
 
 
 def with_contents(entries):
     """The entries with the bytes of regular files, read by the workers; null where they cannot be."""
+    ship(entries.sparkSession)
     schema = entries.schema.jsonValue()
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,6 +202,7 @@ def with_contents(entries):
 
 def refreshed(entries):
     """The entries with what stat and access say now; placed after cheap filters, it costs a call for each row left."""
+    ship(entries.sparkSession)
     schema = entries.schema
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
