@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Rows and bytes of one Arrow batch: what a Python worker holds at a time (a single row may be longer).
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
@@ -58,7 +60,8 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow under bounded batches."""
+    """mapInArrow under bounded batches, by workers that have this package."""
+    ship(df.sparkSession)
     bounded_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
