@@ -69,7 +69,7 @@ def _forward(net: Network, ids: np.ndarray) -> tuple[np.ndarray, ...]:
     qkv = (x.reshape(-1, d) @ net.qkv).reshape(n, WINDOW, 3 * d)
     q, k, v = qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
     a = q @ k.transpose(0, 2, 1)
-    np.minimum(a, 30.0, out=a)
+    np.clip(a, -30.0, 30.0, out=a)
     np.exp(a, out=a)
     a *= _MASK
     a /= a.sum(-1, keepdims=True)

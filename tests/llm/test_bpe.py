@@ -12,7 +12,7 @@ THEIRS = tiktoken.Encoding("own", pat_str=bpe.default_pattern(), mergeable_ranks
 
 
 @settings(max_examples=1000, deadline=None)
-@given(st.text(st.sampled_from(list("abehnot '.=-\n\t1é漢🙂") + ["the", "ing", "  ", "'s", "aaaa", "\r\n"]), max_size=60))
+@given(st.lists(st.sampled_from(list("abehnot '.=-\n\t1é漢🙂") + ["the", "ing", "  ", "'s", "aaaa", "\r\n"]), max_size=60).map("".join))
 def test_ids_equal_the_library(text):
     ids = OURS.encode(text)
     assert ids == THEIRS.encode_ordinary(text)

@@ -18,7 +18,7 @@ def slow_scores(net, texts):
             start = n * stride
             x = net.embed[ids[start:target]] + net.place[: target - start]
             q, k, v = np.split(x @ net.qkv, 3, axis=1)
-            a = np.exp(np.minimum(q[-1] @ k.T, 30))
+            a = np.exp(np.clip(q[-1] @ k.T, -30, 30))
             h = x[-1] + (a / a.sum()) @ v
             y = np.maximum(h @ net.inner + net.bias, 0) @ net.outer + net.base
             c = net.kind[ids[target]]

@@ -8,7 +8,7 @@ from arborquery.llm import toxicity as t
 
 
 def definition(values):
-    """Maximal segments by recursion on the best one, leftmost and shortest first."""
+    """Maximal segments by recursion on the best one, shortest and then leftmost first."""
 
     def within(a, b):
         best, at = 0, None
@@ -16,7 +16,7 @@ def definition(values):
             total = 0
             for k in range(i, b):
                 total += values[k]
-                if total > best:
+                if total > best or at and total == best and k + 1 - i < at[1] - at[0]:
                     best, at = total, (i, k + 1)
         return [] if at is None else [*within(a, at[0]), (*at, best), *within(at[1], b)]
 
@@ -28,8 +28,7 @@ def definition(values):
 def test_segments_equal_their_definition(values):
     got = t.maximal_segments([(i, i + 1, float(v)) for i, v in enumerate(values)])
     want = definition(values)
-    assert [s[2] for s in got] == [s[2] for s in want] if sorted(set(values)) != values else True
-    assert sum(s[2] for s in got) == sum(s[2] for s in want)
+    assert [s[2] for s in got] == [s[2] for s in want]
     assert all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False))
 
 

@@ -17,7 +17,7 @@ THEIRS, OURS = library(), unigram.load(unigram.default_model())
 
 
 @settings(max_examples=1500, deadline=None)
-@given(st.text(st.sampled_from(list("aehnost1!\n\t▁ é漢🙂\x01") + ["the", "ation", "  "]), max_size=40))
+@given(st.lists(st.sampled_from(list("aehnost1!\n\t▁ é漢🙂\x01") + ["the", "ation", "  "]), max_size=40).map("".join))
 def test_counts_equal_the_library(text):
     assert OURS.count(text) == len(THEIRS.encode(text, add_special_tokens=False).ids)
 
