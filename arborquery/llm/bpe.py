@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, ids_and_texts, map_arrow
 
-#: Distinct pieces whose ids a worker remembers, and the longest such piece; beyond that they are encoded again.
-CACHE_PIECES, CACHE_CHARS = 300_000, 64
+#: Distinct pieces whose ids a worker remembers in each of two generations, and the longest such piece; pairs of tokens
+#: and short halves remembered, and the longest such half.
+CACHE_PIECES, CACHE_CHARS, CACHE_PARTS, HALF_BYTES = 100_000, 64, 150_000, 5
 
 
 def default_vocabulary() -> str:
@@ -56,7 +57,9 @@ class Bpe:
             self.bytes_of[r] = b
         self.split = regex.compile(pattern).findall
         self.pairs: dict[tuple[int, int], list[int]] = {}
+        self.halves: dict[bytes, list[int]] = {}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """Plain merging, lowest rank first and leftmost among equals: for windows of a few tokens."""
@@ -100,7 +103,7 @@ class Bpe:
         """The encoding of two tokens' bytes, remembered."""
         found = self.pairs.get((a, b))
         if found is None:
-            if len(self.pairs) >= CACHE_PIECES:
+            if len(self.pairs) >= CACHE_PARTS:
                 self.pairs.clear()
             found = self.pairs[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b])
         return found
@@ -129,21 +132,34 @@ class Bpe:
         rank = self.ranks.get(data)
         if rank is not None:
             return [rank]
-        half = len(data) // 2
-        return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
+        if len(data) > HALF_BYTES:
+            half = len(data) // 2
+            return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
+        found = self.halves.get(data)
+        if found is None:
+            if len(self.halves) >= CACHE_PARTS:
+                self.halves.clear()
+            half = len(data) // 2
+            found = self.halves[data] = self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
+        return found
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.encode_bytes(piece.encode()))
+        ids = self.older.get(piece) or tuple(self.encode_bytes(piece.encode()))
         if len(piece) <= CACHE_CHARS:
-            if len(self.known) >= CACHE_PIECES:
-                self.known.clear()
+            if len(self.known) >= CACHE_PIECES:  # what is still in use moves on to the new generation
+                self.known, self.older = {}, self.known
             self.known[piece] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, piece by piece."""
-        known, slow = self.known.get, self.encode_piece
-        return list(chain.from_iterable([known(p) or slow(p) for p in self.split(text)]))
+        slow = self.encode_piece
+        out: list[int] = []
+        pieces = self.split(text)
+        for a in range(0, len(pieces), 50_000):  # a new generation is looked up from the next part on
+            known = self.known.get
+            out += chain.from_iterable([known(p) or slow(p) for p in pieces[a : a + 50_000]])
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of ids: halves up a tree of concatenations."""
