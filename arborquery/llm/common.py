@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 
 #: Rows and bytes of one Arrow batch: what a Python worker holds at a time (a single row may be longer).
-BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
