@@ -66,8 +66,8 @@ class Scheme(NamedTuple):
 
 def scheme(num: int, den: int, largest: int = 1 << 40) -> Scheme:
     low = [1]
-    while low[-1] <= largest:
-        low.append(max(low[-1] + 1, int(low[-1] * RATIO)))
+    while low[-1] <= largest:  # no set is similar to one two bands up
+        low.append(max(low[-1] + 1, int(low[-1] * RATIO), (low[-1] - 1) * den // num + 1))
     lows = np.array(low[:-1], np.int64)
     highs = np.array(low[1:], np.int64) - 1
     small = highs <= SMALL
