@@ -131,8 +131,8 @@ _FIND: dict[str, tuple[Callable, str, str]] = {
     "downdir_nested": (tree, "-downdir +5 -downdir +14 -type f", "path IN (SELECT parent_path FROM e WHERE path IN (SELECT parent_path FROM e WHERE ftype = 'f' GROUP BY parent_path HAVING count(*) > 14) GROUP BY parent_path HAVING count(*) > 5)"),
     "prune": (tree, "( -name ASIA -a -prune -a -false ) -o -name '*LOW'", "basename GLOB '*LOW' AND NOT EXISTS (SELECT 1 FROM (SELECT path AS p FROM e WHERE basename = 'ASIA') WHERE starts_with(e.path, p || '/'))"),
     "prune_modifier": (tree, "-prunemod -name 'NATION_1*' -a -type f", "ftype = 'f' AND NOT EXISTS (SELECT 1 FROM (SELECT path AS p FROM e WHERE basename GLOB 'NATION_1*' AND ftype = 'd') WHERE starts_with(e.path, p || '/'))"),
-    "quit": (tree, "-name '*URGENT' -a -quit 40", "basename GLOB '*URGENT' AND entry_id < (SELECT max(entry_id) FROM (SELECT entry_id FROM e WHERE basename GLOB '*URGENT' ORDER BY entry_id LIMIT 40))"),
-    "quit_modifier": (docs, "-quitmod 100 -size +2k", "size > 2048 AND entry_id < (SELECT max(entry_id) FROM (SELECT entry_id FROM e WHERE size > 2048 ORDER BY entry_id LIMIT 100))"),
+    "quit": (tree, "-name '*URGENT' -a -quit 40", "basename GLOB '*URGENT' AND entry_id < coalesce((SELECT max(entry_id) FROM (SELECT entry_id FROM e WHERE basename GLOB '*URGENT' ORDER BY entry_id LIMIT 40) HAVING count(*) = 40), 9223372036854775807)"),
+    "quit_modifier": (docs, "-quitmod 100 -size +2k", "size > 2048 AND entry_id < coalesce((SELECT max(entry_id) FROM (SELECT entry_id FROM e WHERE size > 2048 ORDER BY entry_id LIMIT 100) HAVING count(*) = 100), 9223372036854775807)"),
     "content_strstr": (docs, "-content-strstr 'the th'", "contains(content, 'the th')"),
     "content_icase": (docs, "-content-strstr --ignore-case 'LICENSED under'", "contains(upper(content), 'LICENSED UNDER')"),
     "content_regex": (docs, "-content-regex '^[A-Z][a-z]+ing\\.$'", "regexp_matches(content, '(?m)^[A-Z][a-z]+ing\\.$')"),
