@@ -42,13 +42,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
 
 
-def drop_written(df: DataFrame) -> None:
-    """Deletes the files of a table made by written() that no later step reads."""
-    if files := df.inputFiles():
-        _remove(df.sparkSession, files[0].rpartition("/")[0])
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables made by written() that nothing will read again."""
+    for table in tables:
+        _remove(table.sparkSession, table.written_to)
 
 
 def bounded_batches(spark: SparkSession) -> None:

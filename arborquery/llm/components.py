@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,7 +26,9 @@ def components(links: DataFrame) -> DataFrame:
         step = written(near.select("node", F.least("best", own)["other"].alias("to")), "cc-step")
         maps.append(step)
         moved = edges.join(step.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-        edges = written(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct(), "cc-links")
+        before, edges = edges, written(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct(), "cc-links")
+        drop(before)
+    drop(edges)
     if not maps:
         return spark.createDataFrame([], "node long, label long")
     roots = maps[0]
@@ -34,4 +36,6 @@ def components(links: DataFrame) -> DataFrame:
         roots = roots.join(step.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left").select("node", F.coalesce("next", "to").alias("to"))
     roots = written(roots, "cc-roots")
     least = roots.groupBy("to").agg(F.min("node").alias("label"))
-    return written(roots.join(least, "to").select("node", "label"), "cc-labels")
+    labels = written(roots.join(least, "to").select("node", "label"), "cc-labels")
+    drop(roots, *maps)
+    return labels

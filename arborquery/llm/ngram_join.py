@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import documents, ids_and_texts, map_arrow, written
+from .common import documents, drop, ids_and_texts, map_arrow, written
 from .components import components
 
 U = np.uint64
@@ -381,11 +381,14 @@ def classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFram
     members = found.filter("kind = 2").select(F.col("a").alias("met"), F.col("b").alias("node")).distinct()
     more = written(_open_pairs(members, classed, s).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "join-more")
     if more.isEmpty():
+        drop(found, tested, more)
         return labels
     merged = components(_classed(_verified(docs, more, k, s, False).filter("linked").select("a", "b"), labels)).select(F.col("node").alias("label"), F.col("label").alias("least"))
     joined = labels.join(merged, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
     alone = merged.join(labels, merged["label"] == labels["node"], "left_anti").select(F.col("label").alias("node"), F.col("least").alias("label"))
-    return written(joined.unionAll(alone), "join-classes")
+    out = written(joined.unionAll(alone), "join-classes")
+    drop(found, tested, more)
+    return out
 
 
 def joined(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
