@@ -3,7 +3,8 @@
 Predicates become columns. -updir and -downdir look at other entries: where they are plain conjuncts they become semi
 joins, elsewhere left joins that add a boolean marker. -prune and -quit depend on the order of evaluation: each gets
 the condition under which it is reached, from its left neighbours; pruned subtrees go by an anti join on exploded
-ancestors, an equi-join; -quit cuts at the entry_id of its n-th hit. Leaves are never null, so negation is plain.
+ancestors, an equi-join; -quit cuts at the entry_id of its n-th hit. Below a negation leaves are made sure, null being false; elsewhere they
+may be null, which selects nothing just so and lets filters reach the scan.
 """
 
 from __future__ import annotations
@@ -100,6 +101,11 @@ class Compiler:
     def __init__(self, context: Context):
         self.context = context
         self.markers: dict[tuple, str] = {}
+        self.plain = True
+
+    def sure(self, c: Column) -> Column:
+        """A leaf: false for null where something negates it."""
+        return c if self.plain else _sure(c)
 
     # leaves
 
@@ -110,26 +116,26 @@ class Compiler:
         if isinstance(node, n.Glob | n.Contains | n.Regex | n.Fuzzy):
             return self.name(node)
         if isinstance(node, n.Type):
-            return c("ftype").isin(*node.kinds)
+            return self.sure(c("ftype").isin(*node.kinds))
         if isinstance(node, n.Number):
             if node.field.endswith("time"):
-                return _sure(age(c(node.field), node, self.context.now))
-            return _sure(number(c(node.field), node))
+                return self.sure(age(c(node.field), node, self.context.now))
+            return self.sure(number(c(node.field), node))
         if isinstance(node, n.Empty):
-            return _sure(F.when(c("ftype") == "d", c("n_children") == 0).otherwise(c("size") == 0))
+            return self.sure(F.when(c("ftype") == "d", c("n_children") == 0).otherwise(c("size") == 0))
         if isinstance(node, n.Access):
             modes = [c(f"{m}_ok") for m, on in (("r", node.read), ("w", node.write), ("x", node.execute)) if on]
-            return _sure(self._all_of(modes))
+            return self.sure(self._all_of(modes))
         if isinstance(node, n.Perm):
             bits = c("mode").bitwiseAND(0o7777)
             own = bits.bitwiseAND(node.bits)
-            return _sure({"": bits == node.bits, "-": own == node.bits, "/": own != 0}[node.how])
+            return self.sure({"": bits == node.bits, "-": own == node.bits, "/": own != 0}[node.how])
         if isinstance(node, n.Unowned):
             return ~F.coalesce(c("group_known" if node.group else "user_known"), F.lit(True))
         if isinstance(node, n.ContentContains | n.ContentRegex | n.ContentFuzzy):
             return self.content(node)
         if isinstance(node, n.Custom):
-            return _sure(node.build(c, *node.arguments))
+            return self.sure(node.build(c, *node.arguments))
         raise TypeError(type(node).__name__)
 
     @staticmethod
@@ -159,8 +165,8 @@ class Compiler:
             score = fuzzy.similarity(column, node.needle) if len(node.needle) <= fuzzy.LONGEST else fuzzy.similarity_udf(node.needle)(column)
             held = (F.length(column) >= len(node.needle) - 2) & (score > node.cutoff)
         if node.target == "link":  # a link that cannot be read matches
-            return _sure((F.col("ftype") == "l") & F.coalesce(held, F.lit(True)))
-        return _sure(held)
+            return self.sure((F.col("ftype") == "l") & F.coalesce(held, F.lit(True)))
+        return self.sure(held)
 
     def content(self, node) -> Column:
         content = F.col("content")
@@ -177,19 +183,22 @@ class Compiler:
             # a UDF is run on whatever reaches it, so files alone are given to it
             given = F.when((F.col("ftype") == "f") & (plain | node.binary), text)
             held = (F.octet_length(text) >= 5) & (fuzzy.similarity_udf(node.needle)(given) >= node.cutoff)
-        return _sure((F.col("ftype") == "f") & (held if node.binary else plain & held))
+        return self.sure((F.col("ftype") == "f") & (held if node.binary else plain & held))
 
     # trees
 
     def column(self, df: DataFrame, node: n.Expr) -> tuple[DataFrame, Column]:
         """The table with what markers the tree needs, and the tree as a column."""
-        if isinstance(node, n.Not):
-            df, x = self.column(df, node.child)
-            return df, ~x
-        if isinstance(node, n.And | n.Or | n.Xor):
-            df, x = self.column(df, node.left)
-            df, y = self.column(df, node.right)
-            return df, x & y if isinstance(node, n.And) else x | y if isinstance(node, n.Or) else x != y
+        if isinstance(node, n.Not | n.Xor):
+            before, self.plain = self.plain, False
+            try:
+                df, *both = self._operands(df, node)
+            finally:
+                self.plain = before
+            return df, ~both[0] if isinstance(node, n.Not) else both[0] != both[1]
+        if isinstance(node, n.And | n.Or):
+            df, x, y = self._operands(df, node)
+            return df, x & y if isinstance(node, n.And) else x | y
         if isinstance(node, n.UpDir | n.DownDir):
             keys, key = self.keys(node)
             name = self.markers.setdefault((node, key), f"_marker{next(_ids)}")
@@ -208,6 +217,14 @@ class Compiler:
             return df, F.lit(True)
         return df, self.leaf(node)
 
+    def _operands(self, df: DataFrame, node: n.Expr) -> tuple:
+        """The table with their markers, and the children as columns."""
+        columns = []
+        for child in node.children:
+            df, x = self.column(df, child)
+            columns.append(x)
+        return df, *columns
+
     def keys(self, node: n.UpDir | n.DownDir) -> tuple[DataFrame, str]:
         """The keys for which the modifier holds, each once, and the column that they are looked up by."""
         inner = self.filtered(self.base(node.child), node.child)
@@ -224,6 +241,13 @@ class Compiler:
 
     def filtered(self, df: DataFrame, node: n.Expr) -> DataFrame:
         """The rows for which the tree holds: conjuncts that look at other entries as semi joins, the rest in order."""
+        before, self.plain = self.plain, True
+        try:
+            return self._filtered(df, node)
+        finally:
+            self.plain = before
+
+    def _filtered(self, df: DataFrame, node: n.Expr) -> DataFrame:
         plain: list[n.Expr] = []
         semi: list[n.Expr] = []
         for part in flatten(node, n.And):

@@ -47,7 +47,7 @@ def business_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     top, second = F.concat(F.lit("/"), c("r_name")), F.concat(F.lit("/"), c("r_name"), F.lit("/"), c("n_name"))
     third = F.concat(second, F.lit("/"), c("c_name"))
     named = F.concat(F.lit("o"), c("o_orderkey").cast("string"), F.lit("."), c("o_orderpriority"))
-    out = rows(region, place("r_regionkey"), "d", 1, F.lit(""), c("r_name"), none, never)
+    out = rows(region, place("r_regionkey"), "d", 1, F.substring("r_name", 1, 0), c("r_name"), none, never)
     out = out.unionAll(rows(nations, place("r_regionkey", "n_nationkey"), "d", 2, top, c("n_name"), none, never))
     out = out.unionAll(rows(customers, place("r_regionkey", "n_nationkey", "c_custkey"), "d", 3, second, c("c_name"), none, never))
     files = rows(placed, place("r_regionkey", "n_nationkey", "c_custkey", "o_orderkey"), "f", 4, third, named, F.floor("o_totalprice").cast("long"), c("o_orderdate").cast("timestamp"))
