@@ -267,16 +267,13 @@ def min_cut(terminal: list[int], links: list[tuple[int, int, int]]) -> list[bool
                     queue.append(j)
     rest = [i for i in range(n) if label[i] is None]
     if rest:
-        for i, side in zip(rest, _max_flow([value[i] for i in rest], [{k: around[i][j] for k, j in enumerate(rest) if j in around[i]} for i in rest] if len(rest) < 64 else _sub(rest, around)), strict=True):
+        place = {i: k for k, i in enumerate(rest)}
+        inner = [{place[j]: w for j, w in around[i].items() if j in place} for i in rest]
+        for i, side in zip(rest, _max_flow([value[i] for i in rest], inner), strict=True):
             label[i] = side
     return [bool(x) for x in label]
 
 
-def _sub(rest: list[int], around: list[dict[int, int]]) -> list[dict[int, int]]:
-    place = {i: k for k, i in enumerate(rest)}
-    return [{place[j]: w for j, w in around[i].items() if j in place} for i in rest]
-
-
 def _max_flow(value: list[int], around: list[dict[int, int]]) -> list[bool]:
     """Dinic's algorithm; True for nodes on the source's side of the smallest minimum cut."""
     n = len(value)
