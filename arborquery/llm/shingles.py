@@ -60,11 +60,11 @@ class Words(NamedTuple):
     hashes: np.ndarray
     text: np.ndarray
     first: np.ndarray  # one more than texts
-    parts: list[np.ndarray]  # fingerprints of the words' first bytes, one array for each length asked for
+    parts: list[np.ndarray]  # fingerprints of the words' first bytes, one array for each length asked for, 0 for words not longer
 
 
 def words(texts: list[bytes], kind: str, prefixes: tuple[int, ...] = ()) -> Words:
-    """Words of lower-cased UTF-8 texts; prefixes: also fingerprint the first so many bytes of each word."""
+    """Words of lower-cased UTF-8 texts; prefixes: also fingerprint the first so many bytes of each longer word."""
     hashes, counts, parts = [], np.zeros(len(texts), np.int64), [[] for _ in prefixes]
     at = 0
     while at < len(texts):  # blocks of whole texts, one at least
@@ -97,7 +97,8 @@ def _block(texts: list[bytes], kind: str, prefixes: tuple[int, ...]) -> tuple[np
     counts = np.diff(np.searchsorted(starts, text_starts))
     lengths = (ends - starts).astype(U)
     hashes = mix((sums[ends] - sums[starts]) * back + lengths)
-    return hashes, counts, [mix((sums[np.minimum(ends, starts + p)] - sums[starts]) * back + U(0x1000 + p)) for p in prefixes]
+    parts = [np.where(ends - starts > p, mix((sums[np.minimum(ends, starts + p)] - sums[starts]) * back + U(0x1000 + p)), U(0)) for p in prefixes]
+    return hashes, counts, parts
 
 
 _STEP = [pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(64)]

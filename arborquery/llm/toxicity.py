@@ -35,8 +35,8 @@ U = np.uint64
 SAMPLE = 20_000
 FOLDS, HELD_OUT = 5, 0
 PREFIXES = (4, 5, 6)
-#: Parts of the sample for calibration.
-PARTS = 5
+#: Parts of the sample for calibration, and counts packed into a number.
+PARTS, LANES = 5, 3
 PRIOR, LEAST_Z, CAUTION, DRIFT, SIGNIFICANT = 10.0, 3.0, 2.0, 0.5, 0.01
 """Half-documents of prior, least z-score, standard errors taken off a log-odds, cost of a token, expected number."""
 
@@ -75,7 +75,7 @@ def maximal_segments(items: list[tuple[int, int, float]]) -> list[tuple[int, int
 
 def _features(texts: list[str]) -> tuple[shingles.Words, list[np.ndarray]]:
     w = shingles.words([t.lower().encode() for t in texts], "letters", PREFIXES)
-    return w, [w.hashes, *w.parts]
+    return w, [w.hashes, *w.parts]  # a part is 0 where the word is not longer
 
 
 def _scan(texts: list[str], model: Model) -> tuple[np.ndarray, list[list[tuple[int, int, float]]], list[np.ndarray]]:
@@ -168,7 +168,8 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     n = marks.count()
     if n > SAMPLE:
         marks = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < SAMPLE * 1_000_000 // n)
-    both = ids_and_texts(docs).join(marks, "doc_id")
+    # at most about SAMPLE rows of two numbers, by the count above: broadcast, so that texts are not moved
+    both = ids_and_texts(docs).join(F.broadcast(marks), "doc_id")
     return both.groupBy(F.md5(F.col("text").cast("binary")).alias("same")).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
@@ -182,19 +183,24 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             w, features = _features(batch.column(0).to_pylist())
             text = np.tile(w.text, len(features))
             every = np.concatenate(features)
+            text, every = text[every > 0], every[every > 0]
             _, once = np.unique(every ^ shingles.mix(text.astype(U) + U(1)), return_index=True)  # each feature of a text
             h, at = np.unique(every[once], return_inverse=True)
             table = np.bincount(at * (2 * PARTS) + cell[text[once]], minlength=len(h) * 2 * PARTS).reshape(-1, 2 * PARTS)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *(pa.array(c.astype(np.int64)) for c in table.T)], ["h", *cells])
+            table = np.column_stack([table, np.zeros((len(h), LANES * len(packs) - 2 * PARTS), np.int64)]).reshape(len(h), len(packs), LANES)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *(pa.array((c << 16 * np.arange(LANES)).sum(1)) for c in table.transpose(1, 0, 2))], ["h", *packs])
 
+    # counts of up to SAMPLE documents take 16 bits each, three in a number, so that sums do not run over
     cells = [f"n{i}" for i in range(2 * PARTS)]
+    packs = [f"p{i}" for i in range(-(-2 * PARTS // LANES))]
     none = Model(np.empty(0, U), np.empty(0), 1.0, 1.0, None)
     sizes = np.zeros((2, PARTS), np.int64)
     for toxic, part, n in rows.groupBy("toxic", "part").count().collect():
         sizes[min(toxic, 1), part] += n
     if not sizes.sum(1).all():
         return none
-    counts = map_arrow(rows, count, ", ".join(["h long", *(f"{c} long" for c in cells)])).groupBy("h").agg(*(F.sum(c).alias(c) for c in cells))
+    summed = map_arrow(rows, count, ", ".join(["h long", *(f"{c} long" for c in packs)])).groupBy("h").agg(*(F.sum(c).alias(c) for c in packs))
+    counts = summed.select("h", *(F.shiftrightunsigned(packs[i // LANES], 16 * (i % LANES)).bitwiseAND(0xFFFF).alias(c) for i, c in enumerate(cells)))
 
     def odds(clean, toxic, n_c, n_t, log, sqrt):
         """(log-odds, z) of features from the documents of either kind that have them."""
