@@ -18,6 +18,7 @@ other columns are not read.
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from array import array
 from collections.abc import Iterator
@@ -235,12 +236,19 @@ def train(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     if size > SAMPLE_CHARS:
         docs = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000)) < SAMPLE_CHARS * 1_000_000_000 // size)
-    subwords = Subwords(path or default_vocabulary(), pattern or default_pattern())
-    texts = []
-    for row in docs.select("text").distinct().toLocalIterator():
-        ids = np.frombuffer(b"".join(subwords.ids(row.text.encode().lower().split())), np.int32)
-        texts.append(np.concatenate([[subwords.mark], ids, [subwords.mark]]).astype(np.int64))
-    return fit(texts, subwords.mark + 1)
+    path, pattern = path or default_vocabulary(), pattern or default_pattern()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subwords, texts = _subwords(path, pattern), []
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                ids = np.frombuffer(b"".join(subwords.ids(text.encode().lower().split())), np.int32)
+                texts.append(np.concatenate([[subwords.mark], ids, [subwords.mark]]).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, subwords.mark + 1))], pa.binary())], ["network"])
+
+    # one task fits it: the sample is bounded, and a lost executor's task is run again on the same texts in the same order
+    found = map_arrow(docs.select("text").distinct().repartition(1).sortWithinPartitions("text"), run, "network binary").collect()
+    return pickle.loads(found[0].network) if found else fit([], _subwords(path, pattern).mark + 1)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes], list[bool]]]:
