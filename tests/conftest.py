@@ -1,3 +1,7 @@
+import os
+
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # small matrices: threads cost more than they give
+
 import pytest
 from pyspark.sql import SparkSession
 
