@@ -1,8 +1,11 @@
 """A causal self-attention model over subword ids, trained and applied in numpy, and unigram word statistics.
 
 The model predicts each subword id of the lower-cased words from those before it: embeddings of ids and positions, one
-head of causal attention, a hidden layer, a softmax over classes of ids, and each id's share of its class. Classes
-are clusters of ids by their neighbours. It is fitted by Adam on a bounded hash sample of the training documents.
+head of causal attention, a hidden layer, a softmax over classes of ids, and each id's share of its class. Shares and
+classes, clusters of ids by their neighbours, come from counts over every training document. The network is fitted on
+every training document too: distinct texts are dealt by hash into units, the first unit is fitted by Adam, and then
+rounds of 1, 2, 4, ... units start from the network so far, go once through each unit on its own, and are averaged,
+each embedding by the id's occurrences. Averages are of fixed-point sums, so neither order nor partitions matter.
 A text's ids, begun and ended by a mark, are cut into windows of WINDOW inputs that overlap by OVERLAP; many windows
 go through masked attention at once and each id is scored in exactly one window, with OVERLAP ids before it at least
 unless the text begins there. The score is the sum of the ids' log10 probabilities.
@@ -21,8 +24,10 @@ from __future__ import annotations
 import pickle
 import uuid
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -32,11 +37,11 @@ from pyspark.sql import functions as F
 
 from . import shingles
 from .bpe import default_pattern, default_vocabulary, read_ranks
-from .common import documents, fold, ids_and_texts, map_arrow, written
+from .common import documents, drop, fold, ids_and_texts, map_arrow, written
 
 FOLDS, HELD_OUT = 7, 2
-#: Characters of training documents that the network is fitted on, at most about.
-SAMPLE_CHARS = 3_000_000
+#: Characters of training documents in a unit, about; slices in which averages and neighbour counts are added up.
+UNIT_CHARS, SLICES = 8_000_000, 64
 WINDOW, OVERLAP, WIDTH, HIDDEN, CLASSES = 24, 6, 16, 32, 64
 STEPS, BATCH, RATE = 1500, 128, 0.01
 #: Bytes of text of one chunk; text characters for each bucket of the exchange, and the fewest buckets.
@@ -86,16 +91,17 @@ def _forward(net: Network, ids: np.ndarray) -> tuple[np.ndarray, ...]:
     return y, e, s, x, qkv, a, h, z
 
 
-def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def windows(first: np.ndarray, overlap: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, from, to) of the windows over texts of ids flat[first[i]:first[i+1]]: of a window's targets, the
     next id of each input, those from..to are its own to score."""
     targets = np.diff(first) - 1
-    stride = WINDOW - OVERLAP
+    overlap = OVERLAP if overlap is None else overlap
+    stride = WINDOW - overlap
     count = np.where(targets > 0, 1 + -(-np.maximum(0, targets - WINDOW) // stride), 0)
     text = np.repeat(np.arange(len(count)), count)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
     start = first[text] + nth * stride
-    return text, start, np.where(nth > 0, OVERLAP, 0), np.minimum(WINDOW, targets[text] - nth * stride)
+    return text, start, np.where(nth > 0, overlap, 0), np.minimum(WINDOW, targets[text] - nth * stride)
 
 
 def log10_scores(net: Network, flat: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -116,22 +122,46 @@ def log10_scores(net: Network, flat: np.ndarray, first: np.ndarray) -> np.ndarra
     return out
 
 
-def _classes(flat: np.ndarray, vocabulary: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Each id's class, by k-means on its neighbours among the frequent ids, and its log10 share in the class."""
-    count = np.bincount(flat, minlength=vocabulary)
+def _hubs(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each id's row in the table of neighbours, -1 for ids met less than 10 times; its column, 255 for all but the most frequent."""
+    order = np.argsort(-count, kind="stable")
+    rank = np.full(len(count), -1)
+    top = order[: int((count >= 10).sum())]
+    rank[top] = np.arange(len(top))
+    hub = np.full(len(count), 255)
+    hub[order[:255]] = np.arange(len(order[:255]))
+    return rank, hub
+
+
+def _neighbours(flat: np.ndarray, weight: np.ndarray, rank: np.ndarray, hub: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells row * 512 + column of the table of neighbours with their counts; weight: how often each id's text occurs."""
+    cells, many = np.empty(0, np.int32), np.empty(0, np.int64)
+    for i in range(0, len(flat) - 1, 500_000):  # in parts, as sorting takes several times their memory
+        part, w = flat[i : i + 500_001], weight[i : i + 500_001]
+        row, column = rank[part].astype(np.int32) * 512, hub[part].astype(np.int32)
+        after, before = row[:-1] >= 0, row[1:] >= 0
+        keys = np.concatenate([(row[:-1] + 256 + column[1:])[after], (row[1:] + column[:-1])[before]])
+        found, n = np.unique(keys, return_counts=True)
+        more = np.concatenate([w[:-1][after], w[1:][before]]) - 1
+        often = np.flatnonzero(more)
+        n = n + np.bincount(np.searchsorted(found, keys[often]), more[often], len(found)).astype(np.int64)
+        merged = np.union1d(cells, found)
+        total = np.zeros(len(merged), np.int64)
+        total[np.searchsorted(merged, cells)] += many
+        total[np.searchsorted(merged, found)] += n
+        cells, many = merged, total
+    return cells, many
+
+
+def _classes(count: np.ndarray, table: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Each id's class, by k-means on the table of its neighbours, and its log10 share in the class."""
+    vocabulary = len(count)
     order = np.argsort(-count, kind="stable")
     kind = np.zeros(vocabulary, np.int64)
-    top = order[: int(min(4000, (count >= 10).sum()))]
+    top = order[: len(table)]
     if len(top) > CLASSES:
-        rank = np.full(vocabulary, -1)
-        rank[top] = np.arange(len(top))
-        hub = np.full(vocabulary, 255)
-        hub[order[:255]] = np.arange(255)
-        table = np.zeros((len(top), 512), np.float32)
-        for a, b, side in ((flat[:-1], flat[1:], 256), (flat[1:], flat[:-1], 0)):
-            ok = rank[a] >= 0
-            table += np.bincount(rank[a[ok]] * 512 + side + hub[b[ok]], minlength=table.size).reshape(table.shape)
-        table = np.sqrt(table / table.sum(1, keepdims=True))
+        table /= np.maximum(1, table.sum(1, keepdims=True))
+        np.sqrt(table, out=table)
         means = table[rng.choice(min(len(top), 400), CLASSES - 8, replace=False)]
         for _ in range(12):
             near = np.argmax(table @ means.T - 0.5 * (means * means).sum(1), axis=1)
@@ -146,27 +176,46 @@ def _classes(flat: np.ndarray, vocabulary: int, rng: np.random.Generator) -> tup
     return kind.astype(np.int32), share.astype(np.float32)
 
 
+def _start(kind: np.ndarray, share: np.ndarray) -> Network:
+    rng = np.random.default_rng(7)
+    shape = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
+    return Network(shape(len(kind), WIDTH), shape(WINDOW, WIDTH) * 0.1, shape(WIDTH, 3 * WIDTH) * 0.5, shape(WIDTH, HIDDEN), np.zeros(HIDDEN, np.float32), shape(HIDDEN, CLASSES), np.zeros(CLASSES, np.float32), kind, share)
+
+
 def fit(texts: list[np.ndarray], vocabulary: int) -> Network:
     """A network fitted to texts of ids, each with its marks at both ends."""
+    flat = np.concatenate(texts) if texts else np.zeros(0, np.int64)
+    count = np.bincount(flat, minlength=vocabulary)
+    rank, hub = _hubs(count)
+    cells, many = _neighbours(flat, np.ones(len(flat), np.int64), rank, hub)
+    table = np.zeros((rank.max() + 1) * 512, np.float32)
+    table[cells] = many
+    net = _start(*_classes(count, table.reshape(-1, 512), np.random.default_rng(7)))
+    return _fitted(net, flat, np.cumsum([0, *map(len, texts)]), STEPS, RATE, 1e-4, OVERLAP) if texts else net._replace(outer=net.outer * 0)
+
+
+def _fitted(net: Network, flat: np.ndarray, first: np.ndarray, steps: int, rate: float, final: float, overlap: int) -> Network:
+    """The network after steps of Adam, and as many as go through every window once; its rate falls to the final one."""
     rng = np.random.default_rng(7)
-    shape = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-    flat = np.concatenate([*texts, np.zeros(WINDOW + 1, np.int64)]) if texts else np.zeros(WINDOW + 1, np.int64)
-    kind, share = _classes(flat[: -WINDOW - 1], vocabulary, rng)
-    net = Network(shape(vocabulary, WIDTH), shape(WINDOW, WIDTH) * 0.1, shape(WIDTH, 3 * WIDTH) * 0.5, shape(WIDTH, HIDDEN), np.zeros(HIDDEN, np.float32), shape(HIDDEN, CLASSES), np.zeros(CLASSES, np.float32), kind, share)
-    if not texts:
-        return net._replace(outer=net.outer * 0)
-    _, start, _, high = windows(np.cumsum([0, *map(len, texts)]))
+    net = net._replace(**{f: getattr(net, f).copy() for f in Network._fields[:7]})
+    _, start, _, high = windows(first, overlap)
+    flat = np.concatenate([flat, np.zeros(WINDOW + 1, flat.dtype)])
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in net[:7]]
-    at, d = np.arange(WINDOW), WIDTH
-    for step in range(1, STEPS + 1):
-        pick = rng.integers(len(start), size=BATCH)
+    at, d, size = np.arange(WINDOW), WIDTH, min(BATCH, len(start))
+    steps = max(steps, -(-len(start) // size))
+    order = np.empty(0, np.int64)
+    for step in range(1, steps + 1):
+        if len(order) < size:
+            order = np.append(order, rng.permutation(len(start)))
+        pick, order = order[:size], order[size:]
         span = start[pick, None] + at
-        ids, target = flat[span], kind[flat[span + 1]].ravel()
+        ids, target = flat[span], net.kind[flat[span + 1]].ravel()
         y, e, s, x, qkv, a, h, z = _forward(net, ids)
-        own = (at < high[pick, None]).astype(np.float32)
-        dy = e / s
-        dy[np.arange(len(target)), target] -= 1
-        dy *= own.reshape(-1, 1) / own.sum()
+        own = (at < high[pick, None]).astype(np.float32).reshape(-1)
+        own /= own.sum()
+        dy = e
+        dy *= own[:, None] / s
+        dy[np.arange(len(target)), target] -= own
         dz = (dy @ net.outer.T) * (z > 0)
         dh = (dz @ net.inner.T).reshape(h.shape)
         q, k, v = qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
@@ -174,24 +223,21 @@ def fit(texts: list[np.ndarray], vocabulary: int) -> Network:
         ds = a * (da - (da * a).sum(-1, keepdims=True))
         dqkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh], -1)
         dx = dh + (dqkv.reshape(-1, 3 * d) @ net.qkv.T).reshape(x.shape)
-        demb = np.zeros_like(net.embed)
-        np.add.at(demb, ids.ravel(), dx.reshape(-1, d))
+        rows, place = np.unique(ids, return_inverse=True)  # of the embeddings only these change
+        demb = np.stack([np.bincount(place.ravel(), c, len(rows)) for c in dx.reshape(-1, d).T], 1).astype(np.float32)
         grads = (demb, dx.sum(0), x.reshape(-1, d).T @ dqkv.reshape(-1, 3 * d), h.reshape(-1, d).T @ dz, dz.sum(0), z.T @ dy, dy.sum(0))
-        rate, new = RATE * (1 - step / (STEPS + 1)) + 1e-4, []
-        rows = np.unique(ids)  # of the embeddings only these change
+        now = rate * (1 - step / (steps + 1)) + final
         for i, (w, g, (m1, m2)) in enumerate(zip(net[:7], grads, moments, strict=True)):
             if i == 0:
-                m1[rows] = 0.9 * m1[rows] + 0.1 * g[rows]
-                m2[rows] = 0.99 * m2[rows] + 0.01 * g[rows] ** 2
-                w[rows] -= rate * m1[rows] / (np.sqrt(m2[rows]) + 1e-8)
+                m1[rows] = 0.9 * m1[rows] + 0.1 * g
+                m2[rows] = 0.99 * m2[rows] + 0.01 * g**2
+                w[rows] -= now * m1[rows] / (np.sqrt(m2[rows]) + 1e-8)
             else:
                 m1 *= 0.9
                 m1 += 0.1 * g
                 m2 *= 0.99
                 m2 += 0.01 * g * g
-                w -= rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
-            new.append(w)
-        net = net._replace(**dict(zip(Network._fields[:7], new, strict=True)))
+                w -= now * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
     return net
 
 
@@ -203,26 +249,31 @@ def _encoder(path: str, pattern: str):
     return tiktoken.Encoding("subwords", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), len(ranks)
 
 
+class _Known(dict):
+    """Ids of words by word; a word not remembered is encoded."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = array("i", self.encode(" " + word.decode())).tobytes()
+        if len(word) <= 32:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Subwords:
     """Ids of words, remembered; the id after the vocabulary is the mark at both ends of a text."""
 
     def __init__(self, path: str, pattern: str):
         encoding, self.mark = _encoder(path, pattern)
-        self.encode, self.known = encoding.encode_ordinary, {}
+        self.known = _Known(encoding.encode_ordinary)
 
     def ids(self, words: list[bytes]) -> list[bytes]:
         """Of each word, with a space before it, as 4-byte numbers."""
-        known, out = self.known, []
-        for w in words:
-            found = known.get(w)
-            if found is None:
-                found = array("i", self.encode(" " + w.decode())).tobytes()
-                if len(w) <= 32:
-                    if len(known) >= CACHE_WORDS:
-                        known.clear()
-                    known[w] = found
-            out.append(found)
-        return out
+        return list(map(self.known.__getitem__, words))
 
 
 @lru_cache(1)
@@ -230,25 +281,185 @@ def _subwords(path: str, pattern: str) -> Subwords:
     return Subwords(path, pattern)
 
 
-def train(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> Network:
-    """A network fitted on a hash sample of the training documents."""
-    docs = ids_and_texts(docs).filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    if size > SAMPLE_CHARS:
-        docs = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000)) < SAMPLE_CHARS * 1_000_000_000 // size)
-    path, pattern = path or default_vocabulary(), pattern or default_pattern()
+class _Unit(NamedTuple):
+    """Texts of a unit, one after another, where each begins, and in how many training documents it is."""
+
+    number: int
+    flat: np.ndarray
+    first: np.ndarray
+    many: np.ndarray
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[_Unit]:
+    for batch in batches:
+        for number, ids, sizes, many in zip(*(c for c in batch.columns), strict=True):
+            sizes = np.frombuffer(sizes.as_py(), np.int64)
+            yield _Unit(number.as_py(), np.frombuffer(ids := ids.as_py(), np.uint16 if len(ids) == 2 * sizes.sum() else np.int32).astype(np.int32), np.append(0, np.cumsum(sizes)), np.frombuffer(many.as_py(), np.int64))
+
+
+def _units(docs: DataFrame, units: int, path: str, pattern: str) -> DataFrame:
+    """(unit, ids, sizes, many): the distinct texts of the training documents as ids, dealt by hash and in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, texts = _subwords(path, pattern), []
+        subwords, seen, again = _subwords(path, pattern), set(), Counter()
+        mark, short = array("i", [subwords.mark]).tobytes(), subwords.mark < 1 << 16
+
+        def rows(found: list[tuple[int, bytes, int]]) -> pa.RecordBatch:
+            units, ids, many = list(zip(*found, strict=True)) or ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(ids, pa.binary()), pa.array(many, pa.int64())], ["unit", "ids", "many"])
+
+        def unit(ids: bytes) -> int:
+            return int.from_bytes(blake2b(ids, digest_size=8).digest(), "big") % units
+
+        for batch in batches:
+            found = []
+            for text in batch.column(0):
+                ids = b"".join([mark, *subwords.ids(text.as_py().encode().lower().split()), mark])
+                if short:
+                    ids = np.frombuffer(ids, np.int32).astype(np.uint16).tobytes()
+                key = blake2b(ids, digest_size=16).digest()
+                if key in seen:  # copies do not move one by one
+                    again[ids] += 1
+                else:
+                    seen.add(key)
+                    found.append((unit(ids), ids, 1))
+            yield rows(found)
+        for ids, n in again.items():
+            yield rows([(unit(ids), ids, n)])
+
+    width = 2 if _subwords(path, pattern).mark < 1 << 16 else 4
+
+    def pack(table: pa.Table) -> pa.Table:
+        many: Counter = Counter()
+        for ids, n in zip(table.column("ids").to_pylist(), table.column("many").to_pylist(), strict=True):
+            many[ids] += n
+        texts = sorted(many)
+        sizes, times = np.array([len(t) // width for t in texts], np.int64), np.array([many[t] for t in texts], np.int64)
+        return pa.table({"unit": table.column("unit")[:1], "ids": pa.array([b"".join(texts)], pa.binary()), "sizes": pa.array([sizes.tobytes()], pa.binary()), "many": pa.array([times.tobytes()], pa.binary())})
+
+    moved = map_arrow(docs.select("text"), run, "unit long, ids binary, many long").repartition(min(units, 4096), "unit")
+    return written(moved.groupBy("unit").applyInArrow(pack, "unit long, ids binary, sizes binary, many binary"), "lm-units")
+
+
+def _summed(rows: DataFrame) -> dict[int, np.ndarray]:
+    """Rows (slice, data) of whole numbers added up by slice."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = 0
+        for data in table.column("data"):
+            total = total + np.frombuffer(data.as_py(), np.int64)
+        return pa.table({"slice": table.column("slice")[:1], "data": pa.array([total.tobytes()], pa.binary())})
+
+    return {r["slice"]: np.frombuffer(r["data"], np.int64) for r in rows.groupBy("slice").applyInArrow(add, "slice long, data binary").collect()}
+
+
+def _sliced(numbers: np.ndarray) -> pa.RecordBatch:
+    parts = np.array_split(numbers, SLICES)
+    return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "data"])
+
+
+def _joined(parts: dict[int, np.ndarray]) -> np.ndarray:
+    return np.concatenate([parts[i] for i in range(SLICES)])
+
+
+def _corpus_classes(units: DataFrame, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes and shares from the counts over all units."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(vocabulary, np.int64)
+        for u in _read(batches):
+            total += np.bincount(u.flat, np.repeat(u.many, np.diff(u.first)), vocabulary).astype(np.int64)
+        if total.any():
+            yield _sliced(total)
+
+    counts = _joined(_summed(map_arrow(units, count, "slice long, data binary")))
+    rank, hub = _hubs(counts)
+    height = rank.max() // SLICES + 1
+    sent = units.sparkSession.sparkContext.broadcast((rank, hub))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, hub = sent.value
+        for u in _read(batches):
+            cells, many = _neighbours(u.flat, np.repeat(u.many, np.diff(u.first)), rank, hub)
+            cuts = np.searchsorted(cells, np.arange(SLICES + 1) * height * 512)
+            data = [cells[a:b].astype(np.uint32).tobytes() + many[a:b].astype(np.int64).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int64()), pa.array(data, pa.binary())], ["slice", "data"])
+
+    def add(table: pa.Table) -> pa.Table:
+        part = table.column("slice")[0].as_py()
+        total = np.zeros(height * 512, np.int64)
+        for data in table.column("data"):
+            data = data.as_py()
+            n = len(data) // 12
+            total[np.frombuffer(data, np.uint32, n) - part * height * 512] += np.frombuffer(data, np.int64, n, 4 * n)
+        return pa.table({"slice": table.column("slice")[:1], "data": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    def cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((SLICES * height, 512), np.float32)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                ids = np.frombuffer(b"".join(subwords.ids(text.encode().lower().split())), np.int32)
-                texts.append(np.concatenate([[subwords.mark], ids, [subwords.mark]]).astype(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, subwords.mark + 1))], pa.binary())], ["network"])
-
-    # one task fits it: the sample is bounded, and a lost executor's task is run again on the same texts in the same order
-    found = map_arrow(docs.select("text").distinct().repartition(1).sortWithinPartitions("text"), run, "network binary").collect()
-    return pickle.loads(found[0].network) if found else fit([], _subwords(path, pattern).mark + 1)
+            for part, data in zip(*batch.columns, strict=True):
+                table[part.as_py() * height :][:height] = np.frombuffer(data.as_py(), np.float32).reshape(-1, 512)
+        kind, share = _classes(counts, table[: sent.value[0].max() + 1], np.random.default_rng(7))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((kind, share))], pa.binary())], ["classes"])
+
+    table = map_arrow(units, pairs, "slice long, data binary").groupBy("slice").applyInArrow(add, "slice long, data binary")
+    return pickle.loads(map_arrow(table.repartition(1), cluster, "classes binary").first().classes)
+
+
+def _averaged(units: DataFrame, net: Network, rate: float) -> Network:
+    """The network after each unit has been gone through from it, averaged."""
+    sent = units.sparkSession.sparkContext.broadcast(net)
+    sizes = [w.size for w in net[:7]]
+    one = 1 << 20
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = sent.value
+        moves, weight, total = np.zeros(sum(sizes), np.int64), np.zeros(len(net.embed), np.int64), 0
+        for u in _read(batches):
+            new = _fitted(net, u.flat, u.first, 1, 0.0, rate, 0)
+            met = np.bincount(u.flat, minlength=len(net.embed))
+            heavy = np.concatenate([np.repeat(met, WIDTH), np.full(sum(sizes[1:]), len(u.flat))])
+            moves += np.rint(np.concatenate([(b - a).ravel() for a, b in zip(net[:7], new[:7], strict=True)]).astype(np.float64) * heavy * one).astype(np.int64)
+            weight += met
+            total += len(u.flat)
+        if total:
+            yield _sliced(np.concatenate([moves, weight, [total]]))
+
+    found = _joined(_summed(map_arrow(units, run, "slice long, data binary")))
+    sent.destroy()
+    moves, weight, total = found[: sum(sizes)], found[sum(sizes) : -1], found[-1]
+    heavy = np.concatenate([np.repeat(np.maximum(1, weight), WIDTH), np.full(sum(sizes[1:]), max(1, total))])
+    steps = np.split((moves / heavy / one).astype(np.float32), np.cumsum(sizes)[:-1])
+    return net._replace(**{f: w + m.reshape(w.shape) for f, w, m in zip(Network._fields[:7], net[:7], steps, strict=True)})
+
+
+def train(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> Network:
+    """A network fitted on every training document."""
+    path, pattern = path or default_vocabulary(), pattern or default_pattern()
+    docs = ids_and_texts(docs).filter(F.coalesce(fold(F.col("doc_id"), FOLDS) != HELD_OUT, F.lit(True)))
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    vocabulary = _subwords(path, pattern).mark + 1
+    if not n:
+        return fit([], vocabulary)
+    many = -(-size // UNIT_CHARS) or 1
+    units = _units(docs, many, path, pattern)
+    net = _start(*_corpus_classes(units, vocabulary))
+    numbers = sorted(r.unit for r in units.select("unit").collect())
+    sent = units.sparkSession.sparkContext.broadcast(net)
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for u in _read(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_fitted(sent.value, u.flat, u.first, STEPS, RATE, 1e-4, OVERLAP)[:7])], pa.binary())], ["weights"])
+
+    found = map_arrow(units.filter(F.col("unit") == numbers[0]), begin, "weights binary").first()
+    net = Network(*pickle.loads(found.weights), net.kind, net.share)
+    ends = [1]
+    while ends[-1] < len(numbers):
+        ends.append(min(len(numbers), 2 * ends[-1]))
+    for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        net = _averaged(units.filter(F.col("unit").between(numbers[a], numbers[b - 1])), net, 0.5 * RATE * (1 - i / len(ends)))
+    drop(units)
+    return net
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes], list[bool]]]:

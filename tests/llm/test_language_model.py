@@ -85,3 +85,23 @@ def test_query_rows(spark, odd_docs, no_docs, sf, monkeypatch):
     assert [g[3] for g in got] == pytest.approx([w[3] for w in want])
     assert all(r.held_out == (r.doc_id is not None and crc32(str(r.doc_id).encode()) % 7 == 2) and r.score < 0 for r in rows)
     assert lm.op4_language_model(spark, sf(documents=no_docs)).collect() == []
+
+
+def test_ids_of_every_unit_shape_the_network(spark, prose, monkeypatch):
+    """Classes, shares and embeddings cover ids met in any unit, however the rows are partitioned."""
+    monkeypatch.setattr(lm, "STEPS", 5)
+    monkeypatch.setattr(lm, "UNIT_CHARS", 5_000)
+    words = [f"{w} " * 40 for w in ("astronomy", "botany", "chemistry", "dentistry", "economics", "forestry")]
+    docs = spark.createDataFrame([(i, prose(150) + " " + words[i % 6]) for i in range(60)] + [(None, "null " * 30)], "doc_id long, text string")
+    one, other = lm.train(docs.repartition(1)), lm.train(docs.repartition(7))
+    assert all(np.array_equal(a, b) for a, b in zip(one, other, strict=True))
+    subwords = lm._subwords(lm.default_vocabulary(), lm.default_pattern())
+    train = [t.text for t in docs.collect() if t.doc_id is None or crc32(str(t.doc_id).encode()) % 7 != 2]
+    count = np.zeros(len(one.kind))
+    for t in train:
+        np.add.at(count, np.frombuffer(b"".join(subwords.ids(t.encode().lower().split())), np.int32), 1)
+    count[subwords.mark] = 2 * len(train)
+    mass = count + 0.05
+    assert one.share == pytest.approx(np.log10(mass / np.bincount(one.kind, mass, lm.CLASSES)[one.kind]), abs=1e-4)
+    moved = (one.embed != lm._start(one.kind, one.share).embed).any(1)
+    assert moved[count > 0].all() and not moved[count == 0].any()
