@@ -105,3 +105,9 @@ def test_ids_of_every_unit_shape_the_network(spark, prose, monkeypatch):
     assert one.share == pytest.approx(np.log10(mass / np.bincount(one.kind, mass, lm.CLASSES)[one.kind]), abs=1e-4)
     moved = (one.embed != lm._start(one.kind, one.share).embed).any(1)
     assert moved[count > 0].all() and not moved[count == 0].any()
+
+
+def test_ids_in_long_texts_have_eight_before_them():
+    """Of every window but a text's first, the targets scored have 8 ids before them at least, and up to 31."""
+    _, start, low, high = lm.windows(np.array([0, 500]))
+    assert low[1:].min() >= 8 and high.max() >= 32 and (high - low).sum() == 499
