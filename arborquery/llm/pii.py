@@ -8,7 +8,8 @@ A text no rule touches is left as it is: its normal form is itself.
 
 Defined cases: a null or empty text has no spans; repeated rows get equal results, each its own row; an empty table
 gives an empty result; further columns of the input, whatever their names, are not read. Scans are linear, so very
-long texts are processed whole. Overlaps between different kinds are kept, each kind is non-overlapping in itself.
+long texts are processed whole. Overlaps between different kinds are kept; in a kind, an added span may reach beyond
+base spans that are fragments of it, which stay beside it, and is dropped only where a base span contains it.
 """
 
 from __future__ import annotations
@@ -177,7 +178,7 @@ def _word_sites(text: str) -> list[tuple[int, int, str]]:
 
 
 def added_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
-    """Disguised identifiers: found in the normal form, over at least one rewritten segment, beside the base spans."""
+    """Disguised identifiers: found in the normal form, over at least one rewritten segment, in no base span."""
     glyphs = [] if text.isascii() else _glyph_sites(text)
     mid = _apply(glyphs, text) if glyphs else text
     words = _word_sites(mid)
@@ -193,7 +194,7 @@ def added_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]
                 continue
             a, b, new = second.back(lo, hi)
             a, b, newer = first.back(a, b)
-            if (new or newer) and not any(x < b and a < y for x, y in taken):
+            if (new or newer) and not any(x <= a and b <= y for x, y in taken):
                 found.append((a, b))
     return out
 
@@ -231,13 +232,13 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def mask(text: str) -> str:
-    """The text with every span replaced by its kind in brackets; of overlapping spans the first, then longest, wins."""
+    """The text with spans replaced by kinds in brackets; the union of overlapping ones by the kind of the first, then longest."""
     _, spans = find(text)
     out, pos = [], 0
     for lo, neg, kind in sorted((a, -b, k) for k in KINDS for a, b in spans[k]):
         if lo >= pos:
             out += [text[pos:lo], f"[{kind}]"]
-            pos = -neg
+        pos = max(pos, -neg)
     return "".join([*out, text[pos:]]) if out else text
 
 

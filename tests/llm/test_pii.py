@@ -81,3 +81,21 @@ def test_query_rows(spark, odd_docs, no_docs, sf):
 def test_masking_keeps_columns_and_nulls(spark):
     docs = spark.createDataFrame([(1, "a@b.cd or 1.2.3.4", 17, "x"), (2, None, None, None)], "doc_id long, text string, n_chars long, base string")
     assert [tuple(r) for r in pii.masked(docs).orderBy("doc_id").collect()] == [(1, "[email] or [ip]", 15, "x"), (2, None, None, None)]
+
+
+def test_fragments_found_plainly_do_not_hide_the_whole():
+    cases = {
+        "to user@mail.example dot com now": ("email", "user@mail.example dot com", "user@mail.example"),
+        "to jоhn@example.com now": ("email", "jоhn@example.com", "hn@example.com"),
+        "on +44 20 7946 zero nine five eight now": ("phone", "+44 20 7946 zero nine five eight", "+44 20 7946"),
+    }
+    for text, (kind, whole, fragment) in cases.items():
+        base, full = pii.find(text)
+        assert [text[a:b] for a, b in base[kind]] == [fragment]
+        assert {text[a:b] for a, b in full[kind]} == {whole, fragment}
+        assert pii.mask(text) == f"{text[:2]} [{kind}] now"
+
+
+def test_overlapping_spans_are_masked_as_one(monkeypatch):
+    monkeypatch.setattr(pii, "find", lambda text: ({}, {"email": [(1, 4)], "ip": [(3, 6)], "card": [], "phone": [(6, 7)]}))
+    assert pii.mask("abcdefgh") == "a[email][phone]h"
