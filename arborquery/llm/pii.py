@@ -102,10 +102,18 @@ _DW = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
 _SPELLED = re.compile(rf"(?<![a-z0-9])(?:plus[ -])?(?:{_DW}|[0-9]+)(?:[ ().-]{{1,3}}(?:{_DW}|[0-9]+|dot|point)(?![a-z])){{3,}}", re.ASCII)
 _SPELLED_HINT = re.compile(rf"{_DW}[ ().-]{{1,3}}(?:{_DW}(?![a-z])|[0-9]|dot |point )|[0-9][ ().-]{{1,3}}{_DW}(?![a-z])")
 _PART = re.compile(rf"(plus[ -])|(?<![a-z]){_DW}(?![a-z])|( ?(?<![a-z])(?:dot|point)(?![a-z]) ?)")
-_BRACKETED = re.compile(r" ?(?:\[ ?(at|@|dot|\.) ?\]|\( ?(at|@|dot|\.) ?\)|\{ ?(at|@|dot|\.) ?\}|< ?(at|@|dot|\.) ?>) ?")
-_AT_HINTS = ("(at", "[at", "{at", "<at", "( at", "[ at", "{ at", "(@", "[@", "{@", "<@", "(dot", "[dot", "{dot", "( dot", "[ dot", "{ dot", "(.)", "[.]", "{.}", " dot ", " point ")
+_SIGN = r"(at|@|dot|\.)"
+_BRACKETED = re.compile(" ?(?:" + "|".join(rf"\{a} ?{_SIGN} ?\{b}" for a, b in ("[]", "()", "{}")) + rf"|< ?{_SIGN} ?>) ?")
+_BRACKET_HINT = re.compile(rf"[\[({{<] ?{_SIGN} ?[\])}}>]")
 #: name at host dot tld, with the words "at" and "dot", or one of them already a sign.
 _WORDED = re.compile(r"(?<![a-z0-9._%+-])([a-z0-9_%+-]+(?:(?:\.| dot )[a-z0-9_%+-]+)*?)( at |@)([a-z0-9-]+(?:(?: dot |\.)[a-z0-9-]+)*? dot [a-z]{2,}(?: dot [a-z]{2,})*)(?![a-z0-9])")
+#: The word "at" before an ordinary host; the name is what stands left of it, but for words that lead to a place.
+_AT_HOST = re.compile(r" at (?=[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?![a-z0-9]))")
+_TO_A_PLACE = frozenset(
+    "a an and are at available be been book bought browse buy call check checkout click contact details directly download email find follow found free here hosted i in info "
+    "information instructions is it join learn live located look looked looking mail me met more now of on online only or order out page posted published purchase read register "
+    "see shop sign site sold start starting stay stop store that the them there this today up updates us view visit was watch we website were work worked working works you".split()
+)
 _DOTTED = re.compile(r"(?<![a-z0-9.])[0-9]{1,3}(?: (?:dot|point) [0-9]{1,3}){3}(?![0-9])")
 _DOT_WORD = re.compile(r" (?:dot|point) ")
 
@@ -157,13 +165,23 @@ def _word_sites(text: str) -> list[tuple[int, int, str]]:
     if len(low) != len(text):  # a letter whose lower case is longer: fold ASCII alone, so that offsets hold
         low = "".join(c.lower() if c < "\x80" else c for c in text)
     sites: list[tuple[int, int, str]] = []
-    if any(h in low for h in _AT_HINTS):
+    if _BRACKET_HINT.search(low):
         sites += [(*m.span(), "@" if next(filter(None, m.groups())) in ("at", "@") else ".") for m in _BRACKETED.finditer(low)]
-        if " dot " in low or " point " in low:
-            for m in _WORDED.finditer(low):
-                sites += [(*m.span(2), "@")] * (m[2] != "@")
-                sites += [(m.start(g) + d.start(), m.start(g) + d.end(), ".") for g in (1, 3) for d in _DOT_WORD.finditer(m[g])]
-            sites += [(m.start() + d.start(), m.start() + d.end(), ".") for m in _DOTTED.finditer(low) for d in _DOT_WORD.finditer(m.group())]
+    if " dot " in low or " point " in low:
+        for m in _WORDED.finditer(low):
+            sites += [(*m.span(2), "@")] * (m[2] != "@")
+            sites += [(m.start(g) + d.start(), m.start(g) + d.end(), ".") for g in (1, 3) for d in _DOT_WORD.finditer(m[g])]
+        sites += [(m.start() + d.start(), m.start() + d.end(), ".") for m in _DOTTED.finditer(low) for d in _DOT_WORD.finditer(m.group())]
+    for m in _AT_HOST.finditer(low):
+        lo, dots = m.start(), []
+        while lo and (low[lo - 1] in _LOCAL_CHARS or (low.endswith(" dot ", 0, lo) and lo > 5 and low[lo - 6] in _LOCAL_CHARS)):
+            if low[lo - 1] == " ":
+                dots.append((lo - 5, lo, "."))
+                lo -= 5
+            else:
+                lo -= 1
+        if lo < m.start() and low[m.start() - 1] not in ".%" and low[lo : m.start()] not in _TO_A_PLACE:
+            sites += [*dots, (*m.span(), "@")]
     if _SPELLED_HINT.search(low):
         for m in _SPELLED.finditer(low):
             parts = [(m.start() + p.start(), m.start() + p.end(), "+" if p[1] else "." if p[2] else _DIGIT_WORDS[p.group()]) for p in _PART.finditer(m.group())]

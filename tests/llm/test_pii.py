@@ -99,3 +99,19 @@ def test_fragments_found_plainly_do_not_hide_the_whole():
 def test_overlapping_spans_are_masked_as_one(monkeypatch):
     monkeypatch.setattr(pii, "find", lambda text: ({}, {"email": [(1, 4)], "ip": [(3, 6)], "card": [], "phone": [(6, 7)]}))
     assert pii.mask("abcdefgh") == "a[email][phone]h"
+
+
+def test_at_before_an_ordinary_host_and_every_bracketed_sign():
+    cases = ["jane at example.com", "jane.doe at mail.example.org", "jane dot doe at mail.example.org", "user@example<dot>com", "user@example< dot >com", "user@example<.>com"]
+    cases += ["user< at >example.com", "user( @ )example.com", "user@example[ . ]com", "user <at> example {dot} com"]
+    for said in cases:
+        text = f"write: {said}, please"
+        assert [text[a:b] for a, b in pii.find(text)[1]["email"]] == [said]
+        assert pii.mask(text) == "write: [email], please"
+    for text in ("Look at example.com for more.", "It was sold at shop.example.org", "we met at noon. then left", "at example.com"):
+        assert not any(pii.find(text)[1].values()), text
+
+
+def test_signs_of_at_take_linear_time():
+    for text in ("x at a." + "b." * 100_000, "a at b.cd " * 30_000, "< at " * 60_000):
+        pii.find(text)
