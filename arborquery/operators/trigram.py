@@ -30,7 +30,7 @@ def path_trigrams(pattern: str) -> list[str]:
     """For a whole-path pattern: those of the last component that has any, since names are indexed, not paths.
 
     A wildcard may stand for separators, so only a literal run within one component speaks for a name: the run after
-    the last separator belongs to the basename when nothing but literals and ? follow it.
+    the last separator belongs to the basename when nothing but literals follow it.
     """
     found = glob.pieces(pattern)
     tail: list[str] = []
@@ -38,9 +38,9 @@ def path_trigrams(pattern: str) -> list[str]:
         if kind == "text" and "/" in text:
             tail.append(text.rpartition("/")[2])
             return list(dict.fromkeys(t for x in tail for t in trigrams(x)))
-        if kind == "any":
+        if kind != "text":
             return list(dict.fromkeys(t for x in tail for t in trigrams(x)))
-        tail.append(text if kind == "text" else "")
+        tail.append(text)
     return list(dict.fromkeys(t for x in tail for t in trigrams(x)))
 
 

@@ -172,3 +172,9 @@ def test_trigram_bounds():
 def test_slow_and_long_needles(engine):
     needle = "dir" * 30
     assert count(engine, f"-fuzz {needle}") == 0
+
+
+def test_path_wildcards_may_stand_for_separators():
+    """'/x/abc/def' matches both patterns, so a name need not have what stands left of ? or a set."""
+    for pattern in ("*abc?def", "*abc[^x]def"):
+        assert trigram.path_trigrams(pattern) == ["DEF"]
