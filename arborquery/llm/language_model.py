@@ -1,9 +1,9 @@
 """A causal self-attention model over subword ids, trained and applied in numpy, and unigram word statistics.
 
 The model predicts each subword id of the lower-cased words from those before it: embeddings of ids and positions, one
-head of causal attention, a hidden layer, a softmax over classes of ids, and each id's share of its class. Shares and
-classes, clusters of ids by their neighbours, come from counts over every training document. The network is fitted on
-every training document too: distinct texts are dealt by hash into units, the first unit is fitted by Adam, and then
+head of causal attention, a hidden layer, a softmax over classes of ids, and each id's share of its class after the id
+before it. Classes, clusters of ids by their neighbours, and shares, discounted counts of pairs that back off to those of
+single ids, come from counts over every training document. The network is fitted on every training document too: distinct texts are dealt by hash into units, the first unit is fitted by Adam, and then
 rounds of 1, 2, 4, ... units start from the network so far, go once through each unit on its own, and are averaged,
 each embedding by the id's occurrences. Averages are of fixed-point sums, so neither order nor partitions matter.
 A text's ids, begun and ended by a mark, are cut into windows of WINDOW inputs that overlap by OVERLAP; many windows
@@ -44,6 +44,8 @@ FOLDS, HELD_OUT = 7, 2
 UNIT_CHARS, SLICES = 8_000_000, 64
 WINDOW, OVERLAP, WIDTH, HIDDEN, CLASSES = 32, 8, 16, 32, 64
 STEPS, BATCH, RATE = 1500, 128, 0.01
+#: Slots of pairs, what is taken off each pair's count for those in no slot, windows scored together.
+SLOTS, DISCOUNT, ROOM = 1 << 20, 0.5, 128
 #: Bytes of text of one chunk; text characters for each bucket of the exchange, and the fewest buckets.
 CHUNK_BYTES, BUCKET_CHARS, BUCKETS = 8 << 20, 16 << 20, 128
 #: Distinct words whose ids a worker remembers.
@@ -51,7 +53,8 @@ CACHE_WORDS = 200_000
 
 
 class Network(NamedTuple):
-    """Weights; kind and share: each id's class and its log10 share in it."""
+    """Weights; kind and share: each id's class and its log10 share in it; after an id, a slot of pairs (id * vocabulary +
+    next id) has the next id's log10 share in its class, and whatever is in no slot its share plus back."""
 
     embed: np.ndarray
     place: np.ndarray
@@ -62,33 +65,87 @@ class Network(NamedTuple):
     base: np.ndarray
     kind: np.ndarray
     share: np.ndarray
+    pairs: np.ndarray
+    known: np.ndarray
+    back: np.ndarray
 
 
 _MASK = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
-def _forward(net: Network, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Class log-probabilities after every input of windows (n, WINDOW), with what backpropagation needs."""
-    n, d = len(ids), WIDTH
-    x = net.embed[ids]
-    x += net.place
-    qkv = (x.reshape(-1, d) @ net.qkv).reshape(n, WINDOW, 3 * d)
-    q, k, v = qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
-    a = q @ k.transpose(0, 2, 1)
-    np.clip(a, -30.0, 30.0, out=a)
-    np.exp(a, out=a)
-    a *= _MASK
-    a /= a.sum(-1, keepdims=True)
-    h = x + a @ v
-    z = h.reshape(-1, d) @ net.inner
-    z += net.bias
-    np.maximum(z, 0.0, out=z)
-    y = z @ net.outer
-    y += net.base
-    y -= y.max(-1, keepdims=True)
-    e = np.exp(y)
-    s = e.sum(-1, keepdims=True)
-    return y, e, s, x, qkv, a, h, z
+class _Room:
+    """Arrays for n windows, filled anew by every step: few enough windows at a time stay in a core's cache."""
+
+    def __init__(self, n: int, kind: type = np.float32):
+        new = lambda *s: np.empty(s, kind)
+        p, d = n * WINDOW, WIDTH
+        self.n, self.rows = n, np.arange(0, p * CLASSES, CLASSES)
+        self.x, self.qkv, self.a, self.sums = new(p, d), new(p, 3 * d), new(n, WINDOW, WINDOW), new(p, 1)
+        self.seen, self.h, self.z, self.e, self.total = new(n, WINDOW, d), new(p, d), new(p, HIDDEN), new(p, CLASSES), new(p, 1)
+        self.m, self.dz, self.dh, self.dqkv = new(n, WINDOW, WINDOW), new(p, HIDDEN), new(p, d), new(p, 3 * d)
+        self.mask, self.ones = _MASK.astype(kind), np.ones((max(WINDOW, CLASSES), 1), kind)
+
+    def heads(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = x.reshape(self.n, WINDOW, 3 * WIDTH)
+        return x[..., :WIDTH], x[..., WIDTH : 2 * WIDTH], x[..., 2 * WIDTH :]
+
+
+def _forward(net: Network, ids: np.ndarray, target: np.ndarray, room: _Room) -> np.ndarray:
+    """The log-probability of the target class after every input of windows (n, WINDOW); the room keeps the rest."""
+    r = room
+    np.take(net.embed, ids.ravel(), 0, out=r.x, mode="clip")
+    r.x.reshape(-1, WINDOW, WIDTH)[:] += net.place
+    np.matmul(r.x, net.qkv, out=r.qkv)
+    q, k, v = r.heads(r.qkv)
+    np.matmul(q, k.transpose(0, 2, 1), out=r.a)
+    np.clip(r.a, -30.0, 30.0, out=r.a)
+    np.exp(r.a, out=r.a)
+    np.multiply(r.a, r.mask, out=r.a)
+    np.matmul(r.a.reshape(-1, WINDOW), r.ones[:WINDOW], out=r.sums)
+    np.matmul(r.a, v, out=r.seen)
+    np.divide(r.seen.reshape(-1, WIDTH), r.sums, out=r.h)
+    r.h += r.x
+    np.matmul(r.h, net.inner, out=r.z)
+    r.z += net.bias
+    np.maximum(r.z, 0.0, out=r.z)
+    np.matmul(r.z, net.outer, out=r.e)
+    r.e += net.base
+    np.clip(r.e, -80.0, 80.0, out=r.e)
+    found = r.e.reshape(-1).take(r.rows + target)
+    np.exp(r.e, out=r.e)
+    np.matmul(r.e, r.ones[:CLASSES], out=r.total)
+    return found - np.log(r.total[:, 0])
+
+
+def _gradients(net: Network, ids: np.ndarray, target: np.ndarray, own: np.ndarray, room: _Room) -> tuple[float, np.ndarray, tuple[np.ndarray, ...]]:
+    """The loss, targets weighted by own; the ids met, and the gradients: of their embeddings, then of the other weights."""
+    r, d = room, WIDTH
+    loss = -float(_forward(net, ids, target, r) @ own)
+    dy = r.e
+    dy *= own[:, None] / r.total
+    dy.reshape(-1)[r.rows + target] -= own
+    np.matmul(dy, net.outer.T, out=r.dz)
+    r.dz *= r.z > 0
+    np.matmul(r.dz, net.inner.T, out=r.dh)
+    outer, base, inner, bias = r.z.T @ dy, dy.sum(0), r.h.T @ r.dz, r.dz.sum(0)
+    # through attention: with weights a / sums, what a row passes on is taken relative to its mean
+    q, k, v = r.heads(r.qkv)
+    dq, dk, dv = r.heads(r.dqkv)
+    g = r.dh / r.sums
+    r.h -= r.x
+    mean = (r.h * g).sum(1).reshape(-1, WINDOW, 1)
+    g = g.reshape(-1, WINDOW, d)
+    np.matmul(g, v.transpose(0, 2, 1), out=r.m)
+    r.m -= mean
+    r.m *= r.a
+    np.matmul(r.m, k, out=dq)
+    np.matmul(r.m.transpose(0, 2, 1), q, out=dk)
+    np.matmul(r.a.transpose(0, 2, 1), g, out=dv)
+    dx = r.dqkv @ net.qkv.T
+    dx += r.dh
+    rows, at = np.unique(ids, return_inverse=True)
+    embed = np.bincount((at.reshape(-1, 1) * d + np.arange(d)).ravel(), dx.ravel(), len(rows) * d).reshape(-1, d).astype(dx.dtype)
+    return loss, rows, (embed, dx.reshape(-1, WINDOW, d).sum(0), r.x.T @ r.dqkv, inner, bias, outer, base)
 
 
 def windows(first: np.ndarray, overlap: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,21 +161,34 @@ def windows(first: np.ndarray, overlap: int | None = None) -> tuple[np.ndarray,
     return text, start, np.where(nth > 0, overlap, 0), np.minimum(WINDOW, targets[text] - nth * stride)
 
 
+def _slot(before: np.ndarray, key: np.ndarray, slots: int) -> np.ndarray:
+    """The slot of a pair: an id's pairs are all in its slice of the slots."""
+    size = slots // SLICES
+    return before % SLICES * size + ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % size
+
+
 def log10_scores(net: Network, flat: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The log10 probability of each text's ids after its first."""
     text, start, low, high = windows(first)
     out = np.zeros(len(first) - 1)
+    # what an id's class holds for it, by the id before it alone
+    before, after = flat[:-1].astype(np.int64), flat[1:]
+    key = before * len(net.kind) + after
+    slot = _slot(before, key, len(net.pairs))
+    inner = np.where(net.pairs[slot] == key, net.known[slot], net.back[before, net.kind[after]] + net.share[after])
+    inner[first[1:-1] - 1] = 0  # from one text to the next
+    part = np.append(0.0, np.cumsum(inner, dtype=np.float64))
+    out += part[first[1:] - 1] - part[first[:-1]]
     padded = np.concatenate([flat, np.zeros(WINDOW + 1, flat.dtype)])
-    at, scale = np.arange(WINDOW), np.float32(1 / np.log(10))
-    for b in range(0, len(text), 256):
-        span = start[b : b + 256, None] + at
-        target = padded[span + 1]
-        y, _, s, *_ = _forward(net, padded[span])
-        kind = net.kind[target].ravel()
-        lp = (y[np.arange(len(kind)), kind] - np.log(s[:, 0])) * scale + net.share[target].ravel()
-        own = (at >= low[b : b + 256, None]) & (at < high[b : b + 256, None])
-        lp = np.where(own, lp.reshape(own.shape), 0.0).sum(1, dtype=np.float64)
-        out += np.bincount(text[b : b + 256], lp, len(out))
+    at, scale = np.arange(WINDOW), 1 / np.log(10)
+    room = _Room(ROOM)
+    for b in range(0, len(text), ROOM):
+        span = start[b : b + ROOM, None] + at
+        if len(span) < ROOM:
+            room = _Room(len(span))
+        lp = _forward(net, padded[span], net.kind[padded[span + 1]].ravel(), room).reshape(span.shape)
+        own = (at >= low[b : b + ROOM, None]) & (at < high[b : b + ROOM, None])
+        out += np.bincount(text[b : b + ROOM], np.where(own, lp, 0.0).sum(1, dtype=np.float64), len(out)) * scale
     return out
 
 
@@ -133,24 +203,45 @@ def _hubs(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rank, hub
 
 
-def _neighbours(flat: np.ndarray, weight: np.ndarray, rank: np.ndarray, hub: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cells row * 512 + column of the table of neighbours with their counts; weight: how often each id's text occurs."""
-    cells, many = np.empty(0, np.int32), np.empty(0, np.int64)
-    for i in range(0, len(flat) - 1, 500_000):  # in parts, as sorting takes several times their memory
-        part, w = flat[i : i + 500_001], weight[i : i + 500_001]
-        row, column = rank[part].astype(np.int32) * 512, hub[part].astype(np.int32)
-        after, before = row[:-1] >= 0, row[1:] >= 0
-        keys = np.concatenate([(row[:-1] + 256 + column[1:])[after], (row[1:] + column[:-1])[before]])
-        found, n = np.unique(keys, return_counts=True)
-        more = np.concatenate([w[:-1][after], w[1:][before]]) - 1
-        often = np.flatnonzero(more)
-        n = n + np.bincount(np.searchsorted(found, keys[often]), more[often], len(found)).astype(np.int64)
-        merged = np.union1d(cells, found)
-        total = np.zeros(len(merged), np.int64)
-        total[np.searchsorted(merged, cells)] += many
-        total[np.searchsorted(merged, found)] += n
-        cells, many = merged, total
-    return cells, many
+def _added(keys: np.ndarray, more: np.ndarray, found: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two tables of keys in order and their numbers as one."""
+    merged = np.union1d(keys, found)
+    total = np.zeros(len(merged), np.int64)
+    total[np.searchsorted(merged, keys)] += more
+    total[np.searchsorted(merged, found)] += many
+    return merged, total
+
+
+def _pairs(flat: np.ndarray, first: np.ndarray, many: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of neighbours, as id * vocabulary + next id, in order, with their counts; many: how often each text occurs."""
+    keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    inside = np.ones(max(0, len(flat) - 1), bool)
+    inside[first[1:-1] - 1] = False
+    weight = np.repeat(many, np.diff(first))
+    for i in range(0, len(flat) - 1, 1_000_000):  # in parts, as sorting takes several times their memory
+        part, own = flat[i : i + 1_000_001].astype(np.int64), inside[i : i + 1_000_000]
+        key, w = (part[:-1] * vocabulary + part[1:])[own], weight[i : i + 1_000_000][: len(own)][own]
+        found, n = np.unique(key, return_counts=True)
+        often = np.flatnonzero(w > 1)
+        n = n + np.bincount(np.searchsorted(found, key[often]), w[often] - 1, len(found)).astype(np.int64)
+        keys, counts = _added(keys, counts, found, n)
+    return keys, counts
+
+
+def _ids(keys: np.ndarray, counts: np.ndarray, vocabulary: int) -> np.ndarray:
+    """How often each id occurs, the mark at both ends, by the pairs."""
+    out = np.bincount(keys % vocabulary, counts, vocabulary)
+    out[-1] += counts[keys // vocabulary == vocabulary - 1].sum()
+    return out.astype(np.int64)
+
+
+def _cells(keys: np.ndarray, counts: np.ndarray, rank: np.ndarray, hub: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells row * 512 + column of the table of neighbours, and their counts, by the pairs."""
+    a, b = keys // len(rank), keys % len(rank)
+    after, before = rank[a] >= 0, rank[b] >= 0
+    cells = np.concatenate([(rank[a] * 512 + 256 + hub[b])[after], (rank[b] * 512 + hub[a])[before]])
+    found, at = np.unique(cells, return_inverse=True)
+    return found, np.bincount(at, np.concatenate([counts[after], counts[before]]), len(found)).astype(np.int64)
 
 
 def _classes(count: np.ndarray, table: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -176,22 +267,50 @@ def _classes(count: np.ndarray, table: np.ndarray, rng: np.random.Generator) ->
     return kind.astype(np.int32), share.astype(np.float32)
 
 
-def _start(kind: np.ndarray, share: np.ndarray) -> Network:
+def _shares(keys: np.ndarray, counts: np.ndarray, part: int, kind: np.ndarray, share: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one slice of the ids before: its slots' pairs and log10 shares, and what is left for pairs in no slot.
+
+    Where slots are shared the more frequent pair has it. By absolute discounting an id's shares in a class sum to 1.
+    """
+    vocabulary, size = len(kind), slots // SLICES
+    a, b = keys // vocabulary, keys % vocabulary
+    cell = a // SLICES * CLASSES + kind[b]
+    height = -(-vocabulary // SLICES) * CLASSES
+    total = np.bincount(cell, counts, height)
+    slot = _slot(a, keys, slots) - part * size
+    order = np.lexsort((keys, -counts, slot))
+    order = order[np.append(True, slot[order][1:] != slot[order][:-1])[: len(order)]]
+    own = (counts[order] - DISCOUNT) / total[cell[order]]
+    left = 1 - np.bincount(cell[order], own, height)
+    held, known = np.full(size, -1), np.zeros(size, np.float32)
+    held[slot[order]] = keys[order]
+    known[slot[order]] = np.log10(own + left[cell[order]] * 10.0 ** share[b[order]])
+    return held, known, np.log10(np.maximum(left, 1e-12)).astype(np.float32).reshape(-1, CLASSES)
+
+
+def _start(kind: np.ndarray, share: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Network:
+    """A network of random weights; parts: the shares by slices."""
     rng = np.random.default_rng(7)
     shape = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-    return Network(shape(len(kind), WIDTH), shape(WINDOW, WIDTH) * 0.1, shape(WIDTH, 3 * WIDTH) * 0.5, shape(WIDTH, HIDDEN), np.zeros(HIDDEN, np.float32), shape(HIDDEN, CLASSES), np.zeros(CLASSES, np.float32), kind, share)
+    weights = shape(len(kind), WIDTH), shape(WINDOW, WIDTH) * 0.1, shape(WIDTH, 3 * WIDTH) * 0.5, shape(WIDTH, HIDDEN), np.zeros(HIDDEN, np.float32), shape(HIDDEN, CLASSES), np.zeros(CLASSES, np.float32)
+    back = np.stack([p[2] for p in parts], 1).reshape(-1, CLASSES)[: len(kind)]
+    return Network(*weights, kind, share, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), back)
 
 
 def fit(texts: list[np.ndarray], vocabulary: int) -> Network:
-    """A network fitted to texts of ids, each with its marks at both ends."""
+    """A network fitted to texts of ids, each with its marks, the last id of the vocabulary, at both ends."""
     flat = np.concatenate(texts) if texts else np.zeros(0, np.int64)
-    count = np.bincount(flat, minlength=vocabulary)
+    first = np.cumsum([0, *map(len, texts)])
+    keys, many = _pairs(flat, first, np.ones(len(texts), np.int64), vocabulary)
+    count = _ids(keys, many, vocabulary)
     rank, hub = _hubs(count)
-    cells, many = _neighbours(flat, np.ones(len(flat), np.int64), rank, hub)
+    cells, met = _cells(keys, many, rank, hub)
     table = np.zeros((rank.max() + 1) * 512, np.float32)
-    table[cells] = many
-    net = _start(*_classes(count, table.reshape(-1, 512), np.random.default_rng(7)))
-    return _fitted(net, flat, np.cumsum([0, *map(len, texts)]), STEPS, RATE, 1e-4, OVERLAP) if texts else net._replace(outer=net.outer * 0)
+    table[cells] = met
+    kind, share = _classes(count, table.reshape(-1, 512), np.random.default_rng(7))
+    part = keys // vocabulary % SLICES
+    net = _start(kind, share, [_shares(keys[part == i], many[part == i], i, kind, share, SLOTS) for i in range(SLICES)])
+    return _fitted(net, flat, first, STEPS, RATE, 1e-4, OVERLAP) if texts else net._replace(outer=net.outer * 0)
 
 
 def _fitted(net: Network, flat: np.ndarray, first: np.ndarray, steps: int, rate: float, final: float, overlap: int) -> Network:
@@ -201,37 +320,23 @@ def _fitted(net: Network, flat: np.ndarray, first: np.ndarray, steps: int, rate:
     _, start, _, high = windows(first, overlap)
     flat = np.concatenate([flat, np.zeros(WINDOW + 1, flat.dtype)])
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in net[:7]]
-    at, d, size = np.arange(WINDOW), WIDTH, min(BATCH, len(start))
-    steps = max(steps, -(-len(start) // size))
+    at, size = np.arange(WINDOW), min(BATCH, len(start))
+    steps, room = max(steps, -(-len(start) // size)), _Room(size)
     order = np.empty(0, np.int64)
     for step in range(1, steps + 1):
         if len(order) < size:
             order = np.append(order, rng.permutation(len(start)))
         pick, order = order[:size], order[size:]
         span = start[pick, None] + at
-        ids, target = flat[span], net.kind[flat[span + 1]].ravel()
-        y, e, s, x, qkv, a, h, z = _forward(net, ids)
         own = (at < high[pick, None]).astype(np.float32).reshape(-1)
         own /= own.sum()
-        dy = e
-        dy *= own[:, None] / s
-        dy[np.arange(len(target)), target] -= own
-        dz = (dy @ net.outer.T) * (z > 0)
-        dh = (dz @ net.inner.T).reshape(h.shape)
-        q, k, v = qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
-        da = dh @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
-        dqkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh], -1)
-        dx = dh + (dqkv.reshape(-1, 3 * d) @ net.qkv.T).reshape(x.shape)
-        rows, place = np.unique(ids, return_inverse=True)  # of the embeddings only these change
-        demb = np.stack([np.bincount(place.ravel(), c, len(rows)) for c in dx.reshape(-1, d).T], 1).astype(np.float32)
-        grads = (demb, dx.sum(0), x.reshape(-1, d).T @ dqkv.reshape(-1, 3 * d), h.reshape(-1, d).T @ dz, dz.sum(0), z.T @ dy, dy.sum(0))
+        _, rows, grads = _gradients(net, flat[span], net.kind[flat[span + 1]].ravel(), own, room)
         now = rate * (1 - step / (steps + 1)) + final
         for i, (w, g, (m1, m2)) in enumerate(zip(net[:7], grads, moments, strict=True)):
-            if i == 0:
-                m1[rows] = 0.9 * m1[rows] + 0.1 * g
-                m2[rows] = 0.99 * m2[rows] + 0.01 * g**2
-                w[rows] -= now * m1[rows] / (np.sqrt(m2[rows]) + 1e-8)
+            if i == 0:  # of the embeddings only these change
+                m1[rows] = a = 0.9 * m1[rows] + 0.1 * g
+                m2[rows] = b = 0.99 * m2[rows] + 0.01 * g * g
+                w[rows] -= now * a / (np.sqrt(b) + 1e-8)
             else:
                 m1 *= 0.9
                 m1 += 0.1 * g
@@ -362,48 +467,67 @@ def _joined(parts: dict[int, np.ndarray]) -> np.ndarray:
     return np.concatenate([parts[i] for i in range(SLICES)])
 
 
-def _corpus_classes(units: DataFrame, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
-    """Classes and shares from the counts over all units."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(vocabulary, np.int64)
-        for u in _read(batches):
-            total += np.bincount(u.flat, np.repeat(u.many, np.diff(u.first)), vocabulary).astype(np.int64)
-        if total.any():
-            yield _sliced(total)
-
-    counts = _joined(_summed(map_arrow(units, count, "slice long, data binary")))
-    rank, hub = _hubs(counts)
-    height = rank.max() // SLICES + 1
-    sent = units.sparkSession.sparkContext.broadcast((rank, hub))
+def _corpus_shares(units: DataFrame, vocabulary: int) -> Network:
+    """A network of random weights with classes and shares from the counts of pairs over all units."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, hub = sent.value
         for u in _read(batches):
-            cells, many = _neighbours(u.flat, np.repeat(u.many, np.diff(u.first)), rank, hub)
-            cuts = np.searchsorted(cells, np.arange(SLICES + 1) * height * 512)
-            data = [cells[a:b].astype(np.uint32).tobytes() + many[a:b].astype(np.int64).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int64()), pa.array(data, pa.binary())], ["slice", "data"])
+            keys, many = _pairs(u.flat, u.first, u.many, vocabulary)
+            part = keys // vocabulary % SLICES
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(SLICES + 1))
+            cells = [(keys[o].tobytes(), many[o].tobytes()) for o in np.split(order, cuts[1:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int64()), *(pa.array(c, pa.binary()) for c in zip(*cells, strict=True))], ["slice", "keys", "many"])
 
     def add(table: pa.Table) -> pa.Table:
-        part = table.column("slice")[0].as_py()
-        total = np.zeros(height * 512, np.int64)
-        for data in table.column("data"):
-            data = data.as_py()
-            n = len(data) // 12
-            total[np.frombuffer(data, np.uint32, n) - part * height * 512] += np.frombuffer(data, np.int64, n, 4 * n)
-        return pa.table({"slice": table.column("slice")[:1], "data": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+        keys, many = np.empty(0, np.int64), np.empty(0, np.int64)
+        for k, m in zip(table.column("keys"), table.column("many"), strict=True):
+            keys, many = _added(keys, many, np.frombuffer(k.as_py(), np.int64), np.frombuffer(m.as_py(), np.int64))
+        return pa.table({"slice": table.column("slice")[:1], "keys": pa.array([keys.tobytes()], pa.binary()), "many": pa.array([many.tobytes()], pa.binary())})
+
+    schema = "slice long, keys binary, many binary"
+    table = written(map_arrow(units, pairs, schema).groupBy("slice").applyInArrow(add, schema), "lm-pairs")
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for part, keys, many in zip(*batch.columns, strict=True):
+                yield part.as_py(), np.frombuffer(keys.as_py(), np.int64), np.frombuffer(many.as_py(), np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(vocabulary, np.int64)
+        for _, keys, many in tables(batches):
+            total += _ids(keys, many, vocabulary)
+        yield _sliced(total)
+
+    counts = _joined(_summed(map_arrow(table, count, "slice long, data binary")))
+    hubs = units.sparkSession.sparkContext.broadcast(_hubs(counts))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, keys, many in tables(batches):
+            found, n = _cells(keys, many, *hubs.value)
+            yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["cells", "many"])
 
     def cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((SLICES * height, 512), np.float32)
+        height = hubs.value[0].max() + 1
+        met = np.zeros(height * 512, np.float64)  # whole numbers: the order in which they are added does not matter
         for batch in batches:
-            for part, data in zip(*batch.columns, strict=True):
-                table[part.as_py() * height :][:height] = np.frombuffer(data.as_py(), np.float32).reshape(-1, 512)
-        kind, share = _classes(counts, table[: sent.value[0].max() + 1], np.random.default_rng(7))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((kind, share))], pa.binary())], ["classes"])
+            for found, n in zip(*batch.columns, strict=True):
+                met[np.frombuffer(found.as_py(), np.int64)] += np.frombuffer(n.as_py(), np.int64)
+        classes = _classes(counts, met.astype(np.float32).reshape(-1, 512), np.random.default_rng(7))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(classes)], pa.binary())], ["classes"])
+
+    near = map_arrow(table, cells, "cells binary, many binary").repartition(1)
+    kind, share = pickle.loads(map_arrow(near, cluster, "classes binary").first().classes)
+    classes = units.sparkSession.sparkContext.broadcast((kind, share))
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, keys, many in tables(batches):
+            found = pickle.dumps(_shares(keys, many, part, *classes.value, SLOTS))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([found], pa.binary())], ["slice", "shares"])
 
-    table = map_arrow(units, pairs, "slice long, data binary").groupBy("slice").applyInArrow(add, "slice long, data binary")
-    return pickle.loads(map_arrow(table.repartition(1), cluster, "classes binary").first().classes)
+    parts = {r["slice"]: pickle.loads(r["shares"]) for r in map_arrow(table, shares, "slice long, shares binary").collect()}
+    drop(table)
+    return _start(kind, share, [parts[i] for i in range(SLICES)])
 
 
 def _averaged(units: DataFrame, net: Network, rate: float) -> Network:
@@ -443,7 +567,7 @@ def train(docs: DataFrame, path: str | None = None, pattern: str | None = None)
         return fit([], vocabulary)
     many = -(-size // UNIT_CHARS) or 1
     units = _units(docs, many, path, pattern)
-    net = _start(*_corpus_classes(units, vocabulary))
+    net = _corpus_shares(units, vocabulary)
     numbers = sorted(r.unit for r in units.select("unit").collect())
     sent = units.sparkSession.sparkContext.broadcast(net)
 
@@ -452,7 +576,7 @@ def train(docs: DataFrame, path: str | None = None, pattern: str | None = None)
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_fitted(sent.value, u.flat, u.first, STEPS, RATE, 1e-4, OVERLAP)[:7])], pa.binary())], ["weights"])
 
     found = map_arrow(units.filter(F.col("unit") == numbers[0]), begin, "weights binary").first()
-    net = Network(*pickle.loads(found.weights), net.kind, net.share)
+    net = net._replace(**dict(zip(Network._fields, pickle.loads(found.weights), strict=False)))
     ends = [1]
     while ends[-1] < len(numbers):
         ends.append(min(len(numbers), 2 * ends[-1]))
