@@ -22,8 +22,8 @@ other columns are not read.
 from __future__ import annotations
 
 import pickle
+import re
 import uuid
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -48,8 +48,6 @@ STEPS, BATCH, RATE = 1500, 128, 0.01
 SLOTS, DISCOUNT, ROOM = 1 << 20, 0.5, 128
 #: Bytes of text of one chunk; text characters for each bucket of the exchange, and the fewest buckets.
 CHUNK_BYTES, BUCKET_CHARS, BUCKETS = 8 << 20, 16 << 20, 128
-#: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 200_000
 
 
 class Network(NamedTuple):
@@ -346,39 +344,56 @@ def _fitted(net: Network, flat: np.ndarray, first: np.ndarray, steps: int, rate:
     return net
 
 
-@lru_cache(1)
-def _encoder(path: str, pattern: str):
-    import tiktoken
-
-    ranks = read_ranks(path)
-    return tiktoken.Encoding("subwords", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), len(ranks)
-
+def vocabulary(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(codes, first, words): every word of the texts as a place in words, where each text begins, the distinct words."""
+    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    inside = shingles.classes("space")[data]
+    edge = np.diff(inside.view(np.int8), prepend=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    offsets = np.append(0, np.cumsum(ends - starts))
+    flat = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
+    first = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    return flat.indices.to_numpy().astype(np.int64), first, flat.dictionary.to_pylist()
 
-class _Known(dict):
-    """Ids of words by word; a word not remembered is encoded."""
 
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, word: bytes) -> bytes:
-        found = array("i", self.encode(" " + word.decode())).tobytes()
-        if len(word) <= 32:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = found
-        return found
+_WHITE = re.compile(r"[^\S ]")
 
 
 class Subwords:
-    """Ids of words, remembered; the id after the vocabulary is the mark at both ends of a text."""
+    """Ids of words; the id after the vocabulary is the mark at both ends of a text."""
 
     def __init__(self, path: str, pattern: str):
-        encoding, self.mark = _encoder(path, pattern)
-        self.known = _Known(encoding.encode_ordinary)
-
-    def ids(self, words: list[bytes]) -> list[bytes]:
-        """Of each word, with a space before it, as 4-byte numbers."""
-        return list(map(self.known.__getitem__, words))
+        import tiktoken
+
+        ranks = read_ranks(path)
+        self.mark = len(ranks)
+        self.encode = tiktoken.Encoding("subwords", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.begins = np.zeros(max(ranks.values(), default=0) + 1, bool)
+        self.begins[[i for t, i in ranks.items() if t.startswith(b" ")]] = True
+
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes): of each word with a space before it. Pieces end before spaces, so that all go at once, unless
+        other white space, at which the pattern looks ahead, is in a word."""
+        text = b"".join(b" " + w for w in words).decode()
+        if not _WHITE.search(text):
+            flat = np.array(self.encode(text), np.int32)
+            starts = np.flatnonzero(self.begins[flat])
+            if len(starts) == len(words):
+                return flat, np.diff(np.append(starts, len(flat)))
+        each = [self.encode(" " + w.decode()) for w in words]
+        return np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each], np.int64)
+
+    def texts(self, codes: np.ndarray, first: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, first): of the texts whose words are the codes, between marks, gathered from the words' ids."""
+        n = sizes[codes]
+        ends = np.append(0, np.cumsum(n))
+        own = np.append(0, np.cumsum(np.diff(ends[first]) + 2))
+        out = np.full(own[-1], self.mark, np.int32)
+        inner = np.ones(own[-1], bool)
+        inner[own[:-1]] = inner[own[1:] - 1] = False
+        begin = np.cumsum(sizes) - sizes
+        out[inner] = flat[np.arange(ends[-1]) + np.repeat(begin[codes] - ends[:-1], n)]
+        return out, own
 
 
 @lru_cache(1)
@@ -404,10 +419,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[_Unit]:
 
 def _units(docs: DataFrame, units: int, path: str, pattern: str) -> DataFrame:
     """(unit, ids, sizes, many): the distinct texts of the training documents as ids, dealt by hash and in order."""
+    width, kind = (2, np.uint16) if _subwords(path, pattern).mark < 1 << 16 else (4, np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords, seen, again = _subwords(path, pattern), set(), Counter()
-        mark, short = array("i", [subwords.mark]).tobytes(), subwords.mark < 1 << 16
 
         def rows(found: list[tuple[int, bytes, int]]) -> pa.RecordBatch:
             units, ids, many = list(zip(*found, strict=True)) or ((), (), ())
@@ -418,21 +433,21 @@ def _units(docs: DataFrame, units: int, path: str, pattern: str) -> DataFrame:
 
         for batch in batches:
             found = []
-            for text in batch.column(0):
-                ids = b"".join([mark, *subwords.ids(text.as_py().encode().lower().split()), mark])
-                if short:
-                    ids = np.frombuffer(ids, np.int32).astype(np.uint16).tobytes()
-                key = blake2b(ids, digest_size=16).digest()
+            codes, first, words = vocabulary([t.encode().lower() for t in batch.column(0).to_pylist()])
+            ids, first = subwords.texts(codes, first, *subwords.ids(words))
+            ids, first = ids.astype(kind).tobytes(), (first * width).tolist()
+            for a, b in zip(first[:-1], first[1:], strict=True):
+                ids_ = ids[a:b]
+                key = blake2b(ids_, digest_size=16).digest()
                 if key in seen:  # copies do not move one by one
-                    again[ids] += 1
+                    again[ids_] += 1
                 else:
                     seen.add(key)
-                    found.append((unit(ids), ids, 1))
+                    found.append((unit(ids_), ids_, 1))
             yield rows(found)
         for ids, n in again.items():
             yield rows([(unit(ids), ids, n)])
 
-    width = 2 if _subwords(path, pattern).mark < 1 << 16 else 4
 
     def pack(table: pa.Table) -> pa.Table:
         many: Counter = Counter()
@@ -622,43 +637,25 @@ def _mapped(docs: DataFrame, net: Network, buckets: int, path: str, pattern: str
         net, subwords = sent.value, _subwords(path, pattern)
         for ids, texts, held in _chunks(batches):
             chunk = uuid.uuid4().int >> 65
-            place: dict[bytes, int] = {}
-            runs = [np.array([place.setdefault(w, len(place)) for w in t.split()], np.int32) for t in texts]
-            words = list(place)
-            del place
+            codes, at, words = vocabulary(texts)
             # places in the order of buckets
-            own = shingles.words(words, "space").hashes
-            bucket = (own % np.uint64(buckets)).astype(np.int64) if words else np.empty(0, np.int64)
+            own = shingles.words([b" ".join(words)], "space").hashes
+            bucket = (own % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
-            # ids of every text, gathered from its words
-            pieces = subwords.ids(words)
-            lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-            flat = np.frombuffer(b"".join(pieces), np.int32)
-            begin = np.cumsum(lengths) - lengths
-            del pieces
+            flat, sizes = subwords.ids(words)
             train = np.zeros(len(words), np.int64)
             rows = []
             for a in range(0, len(texts), 256):
-                part = runs[a : a + 256]
-                sizes = np.array([lengths[r].sum() + 2 for r in part], np.int64)
-                first = np.append(0, np.cumsum(sizes))
-                seq = np.full(first[-1], subwords.mark, np.int32)
-                inner = np.ones(first[-1], bool)
-                inner[first[:-1]] = inner[first[1:] - 1] = False
-                joined = np.concatenate(part) if part else np.empty(0, np.int64)
-                n = lengths[joined]
-                ends = np.cumsum(n)
-                if len(n):
-                    seq[inner] = flat[np.arange(ends[-1]) + np.repeat(begin[joined] - (ends - n), n)]
-                scores = log10_scores(net, seq, first)
-                for i, r, score in zip(range(a, a + len(part)), part, scores.tolist(), strict=True):
-                    uniq, many = np.unique(rank[r], return_counts=True)
+                b = min(len(texts), a + 256)
+                scores = log10_scores(net, *subwords.texts(codes[at[a] : at[b]], at[a : b + 1] - at[a], flat, sizes))
+                for i, score in zip(range(a, b), scores.tolist(), strict=True):
+                    uniq, many = np.unique(rank[codes[at[i] : at[i + 1]]], return_counts=True)
                     if not held[i]:
                         train[order[uniq]] += many
                     data = uniq.astype(np.uint32).tobytes() + many.astype(np.uint32).tobytes()
-                    rows.append((chunk, -1, ids[i], held[i], len(r) + 1, score, data))
+                    rows.append((chunk, -1, ids[i], held[i], int(at[i + 1] - at[i]) + 1, score, data))
                 yield _batch(rows)
                 rows = []
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))

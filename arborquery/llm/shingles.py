@@ -42,7 +42,7 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 
 @lru_cache(None)
-def _class(kind: str) -> np.ndarray:
+def classes(kind: str) -> np.ndarray:
     """Which bytes belong to words: all but white space, letters and digits, or letters; non-ASCII bytes always do."""
     table = np.ones(256, bool)
     if kind == "space":
@@ -85,7 +85,7 @@ def words(texts: list[bytes], kind: str, prefixes: tuple[int, ...] = ()) -> Word
 
 def _block(texts: list[bytes], kind: str, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    inside = _class(kind)[data]
+    inside = classes(kind)[data]
     edge = np.diff(inside.view(np.int8), prepend=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     size = 1 << max(16, (len(data) - 1).bit_length())

@@ -120,7 +120,7 @@ def test_it_beats_counting_words(spark):
     subwords = lm._subwords(lm.default_vocabulary(), lm.default_pattern())
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
     words = [(crc32(str(i).encode()) % 7 == 2, (t or "").encode().lower().split()) for i, t in rows]
-    ids = [(held, np.concatenate([[subwords.mark], np.frombuffer(b"".join(subwords.ids(w)), np.int32), [subwords.mark]])) for held, w in words]
+    ids = [(held, np.concatenate([[subwords.mark], subwords.ids(w)[0], [subwords.mark]])) for held, w in words]
     net = lm.fit([x for held, x in ids if not held], subwords.mark + 1)
     count, ends = Counter(w for held, ws in words if not held for w in ws), sum(not held for held, _ in words)
     n, v = sum(count.values()) + ends, len(count) + 1
@@ -162,7 +162,7 @@ def test_ids_of_every_unit_shape_the_network(spark, prose, monkeypatch):
     train = [t.text for t in docs.collect() if t.doc_id is None or crc32(str(t.doc_id).encode()) % 7 != 2]
     count = np.zeros(len(one.kind))
     for t in train:
-        np.add.at(count, np.frombuffer(b"".join(subwords.ids(t.encode().lower().split())), np.int32), 1)
+        np.add.at(count, subwords.ids(t.encode().lower().split())[0], 1)
     count[subwords.mark] = 2 * len(train)
     mass = count + 0.05
     assert one.share == pytest.approx(np.log10(mass / np.bincount(one.kind, mass, lm.CLASSES)[one.kind]), abs=1e-4)
@@ -175,3 +175,16 @@ def test_ids_in_long_texts_have_eight_before_them():
     """Of every window but a text's first, the targets scored have 8 ids before them at least, and up to 31."""
     _, start, low, high = lm.windows(np.array([0, 500]))
     assert low[1:].min() >= 8 and high.max() >= 32 and (high - low).sum() == 499
+
+
+def test_ids_of_words_go_at_once():
+    """As each word alone, be it with white space that is none between words, with signs, or empty of letters."""
+    subwords = lm._subwords(lm.default_vocabulary(), lm.default_pattern())
+    odd = ["a", "it's", "\u00a0", "x\u00a0", "\u00a0y", "--", "\u4e16\u754c", "1,000.5", "\x1c", "\u2003z\u2003", "end."]
+    for words in (odd, [w for w in odd if not lm._WHITE.search(w)], [], ["\u00a0", "\u00a0"]):
+        texts = [" ".join(words[i:]).encode().lower() for i in range(len(words) + 1)]
+        codes, first, distinct = lm.vocabulary(texts)
+        assert [[distinct[c] for c in codes[a:b]] for a, b in zip(first[:-1], first[1:], strict=True)] == [t.split() for t in texts]
+        ids, at = subwords.texts(codes, first, *subwords.ids(distinct))
+        for t, a, b in zip(texts, at[:-1], at[1:], strict=True):
+            assert ids[a:b].tolist() == [subwords.mark, *(i for w in t.split() for i in subwords.encode(" " + w.decode())), subwords.mark]
