@@ -54,7 +54,7 @@ def main(arguments: list[str], spark: SparkSession | None = None, out=None) -> i
         print("there is no index; make one with -updatedb", file=sys.stderr)
         return 4
     try:
-        engine.run(tree, starts=starts or [os.getcwd()], out=out or sys.stdout, confirm=lambda command: input(f"{command} ? ")[:1] in ("y", "Y"))
+        engine.run(tree, starts=starts or [os.getcwd()], out=out or sys.stdout, confirm=lambda command: input(f"{command} ? ")[:1] in ("y", "Y"), live=True)
     except Exception as e:
         print(e, file=sys.stderr)
         return 1

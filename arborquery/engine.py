@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import time
 import uuid
@@ -18,7 +19,6 @@ from .operators import trigram
 from .plans import nodes as n
 from .plans.compiler import Compiler, Context, below, with_all_columns
 from .plans.parser import parse
-from .plans.rewrite import optimize
 from .plans.tokens import tokenize
 from .sources import crawler
 
@@ -199,28 +199,24 @@ class Engine:
             out.append(root if root == path or root.startswith(path.rstrip("/") + "/") else path)
         return out
 
-    def context(self, **options) -> Context:
-        return Context(with_all_columns(self.entries()), load_content=None if self.own is not None else crawler.with_contents, **options)
+    def context(self, live: bool = False, **options) -> Context:
+        own = self.own is not None
+        return Context(with_all_columns(self.entries()), load_content=None if own else crawler.with_contents, load_stats=crawler.refreshed if live and not own else None, **options)
 
     def _each(self, tree: n.Expr, starts: list[str] | None, use_index: bool, options: dict) -> list[DataFrame]:
         context = self.context(**options)
         out = []
         for path in self.starts(starts):
-            base = context.entries
             start = None if path == rectify(self.settings.root_path) and self.own is None else below(path)
-            compiler = Compiler(context)
-            if use_index and (proposed := trigram.indexed(base, self.postings(), optimize(tree))) is not None:
-                narrowed = Compiler(Context(proposed, context.now, context.load_content, context.inclusive_quit))
-                if not any(isinstance(x, n.UpDir | n.DownDir) for x in tree.walk()):
-                    compiler = narrowed
-            out.append(compiler.search(tree, start))
+            proposed = trigram.indexed(context.entries, self.postings(), tree) if use_index else None
+            out.append(Compiler(context).search(tree, start, proposed))
         return out
 
     def search(self, expression: str | list[str] | n.Expr, starts: list[str] | None = None, use_index: bool = False, **options) -> DataFrame:
         """The matches below each start, one after the other; nested starts repeat what they share.
 
         use_index: what the trigram index proposes is searched instead of all entries, with the same rows.
-        Options: now, inclusive_quit.
+        Options: now, inclusive_quit, live (sizes, times, owners and permissions of now instead of the index's).
         """
         tree = expression if isinstance(expression, n.Expr) else parse(expression)
         return reduce(DataFrame.unionByName, self._each(tree, starts, use_index, options))
@@ -231,18 +227,13 @@ class Engine:
         return self.entries().filter((F.col("parent_path") == parent) & ~F.coalesce(F.col("is_root"), F.lit(False)))
 
     def pages(self, expression: str | list[str] | n.Expr, size: int, starts: list[str] | None = None, **options) -> Iterator[list]:
-        """The matches in order of the walk, a page at a time; each page continues after the last entry_id."""
+        """The matches in order of the walk, a page at a time; the search is run and sorted once, and the driver holds a
+        page and one partition of what is sorted."""
         tree = expression if isinstance(expression, n.Expr) else parse(expression)
         for found in self._each(tree, starts, False, options):
-            last = None
-            while True:
-                rest = found if last is None else found.filter(F.col("entry_id") > last)
-                page = rest.orderBy("entry_id").limit(size).collect()
-                if page:
-                    yield page
-                if len(page) < size:
-                    break
-                last = page[-1].entry_id
+            rows = found.orderBy("entry_id").toLocalIterator()
+            while page := list(itertools.islice(rows, size)):
+                yield page
 
     def run(self, expression: str | list[str] | n.Expr, callback: Callable | None = None, starts: list[str] | None = None, out: TextIO | None = None, confirm: Callable[[str], bool] | None = None, tag: str | None = None, **options) -> int:
         """Does what the expression's actions say, or prints the matches, or calls back with them; how many there were.
@@ -286,7 +277,7 @@ class Engine:
 
     @staticmethod
     def _rows(compiler: Compiler, tree: n.Expr, start) -> DataFrame:
-        rows = compiler.base(tree).filter(~F.coalesce(F.col("is_root"), F.lit(False)))
+        rows = compiler.context.entries.filter(~F.coalesce(F.col("is_root"), F.lit(False)))
         return compiler.visited(tree, rows if start is None else rows.filter(start))
 
     def cancel(self, tag: str) -> None:

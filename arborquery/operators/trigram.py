@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import glob
 from ..plans import nodes as n
+from ..plans.rewrite import flatten, optimize
 
 
 def trigrams(text: str) -> list[str]:
@@ -72,19 +73,20 @@ def intersection(index: DataFrame, wanted: list[str]) -> DataFrame:
 def fuzzy_bound(needle: str, cutoff: float) -> int:
     """A number of the needle's trigrams that any name above the cutoff has; 0 if none must be there.
 
-    A window of length w scores above the cutoff only if its common subsequence is longer than cutoff/200 (n + w), so
-    at most n - c of the needle's characters are missing and w - c of the window's are in between; each spoils at most
-    three trigrams. Windows are n long at most.
+    A window of length w scores above the cutoff only if its common subsequence c is longer than cutoff/200 (n + w), so
+    n - c of the needle's characters are missing and w - c of the window's are in between; each spoils at most three
+    trigrams. Windows are n long at most. A name shorter than the needle, by two at most, is held against windows of the
+    needle instead: what of the needle is outside spoils one trigram a character.
     """
-    size = len(needle)
-    best = None
-    for window in range(1, size + 1):
-        common = int(cutoff / 200 * (size + window)) + 1
-        if common <= min(size, window):
-            spoilt = 3 * (size - common + window - common)
-            kept = len(trigrams(needle)) - spoilt
-            best = kept if best is None else min(best, kept)
-    return max(0, best or 0)
+    size, own = len(needle), len(trigrams(needle))
+    kept = []
+    for length in range(max(1, size - 2), size + 1):
+        for window in range(1, length + 1):
+            common = int(cutoff / 200 * (length + window)) + 1
+            if common <= window:
+                outside = size - window if length < size else 0
+                kept.append(own - outside - 3 * (length - common + window - common))
+    return max(0, min(kept, default=0))
 
 
 def needed(node: n.Expr) -> tuple[list[str], int]:
@@ -100,22 +102,37 @@ def needed(node: n.Expr) -> tuple[list[str], int]:
     return [], 0
 
 
-def plan(tree: n.Expr) -> tuple[list[str], int]:
-    """The most selective conjunct of a tree that the index can answer."""
-    from ..plans.rewrite import flatten
+def proposal(index: DataFrame, tree: n.Expr) -> DataFrame | None:
+    """entry_ids that have every match of a tree, or None where only a scan will do.
 
-    best: tuple[list[str], int] = [], 0
-    if not any(x.barrier for x in tree.walk()):
-        for part in flatten(tree, n.And):
-            wanted, least = needed(part)
-            if least > best[1]:
-                best = wanted, least
-    return best
+    Of a chain of conjuncts the one with the most trigrams speaks; of alternatives all have to, and what they propose is
+    put together. Nothing that looks at other entries, or is negated, speaks; pruning, quitting and acting depend on
+    what is met before.
+    """
+    if any(x.barrier for x in tree.walk()):
+        return None
+    wanted = _wanted(optimize(tree))
+    if wanted is None:
+        return None
+    several = [candidates(index, list(t), least) for t, least in dict.fromkeys(wanted)] or [index.filter(F.lit(False)).select("entry_id")]
+    return several[0] if len(several) == 1 else reduce(DataFrame.unionAll, several)
+
+
+def _wanted(tree: n.Expr) -> list[tuple[tuple[str, ...], int]] | None:
+    """Lookups (trigrams, how many of them) that together find every match."""
+    if isinstance(tree, n.And):
+        found = [x for x in map(_wanted, flatten(tree, n.And)) if x is not None]
+        return max(found, key=lambda x: (-len(x), min((least for _, least in x), default=0)), default=None)
+    if isinstance(tree, n.Or):
+        found = [_wanted(x) for x in flatten(tree, n.Or)]
+        return None if None in found else sum(found, [])
+    if isinstance(tree, n.Const) and not tree.value:
+        return []
+    wanted, least = needed(tree)
+    return [(tuple(wanted), least)] if least else None
 
 
 def indexed(entries: DataFrame, index: DataFrame, tree: n.Expr) -> DataFrame | None:
     """The entries that the index proposes for a tree, or None where only a scan will do."""
-    wanted, least = plan(tree)
-    if not least:
-        return None
-    return entries.join(candidates(index, wanted, least), "entry_id", "left_semi")
+    found = proposal(index, tree)
+    return None if found is None else entries.join(found, "entry_id", "left_semi")

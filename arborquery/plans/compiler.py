@@ -2,8 +2,8 @@
 
 Predicates become columns. -updir and -downdir look at other entries: where they are plain conjuncts they become semi
 joins, elsewhere left joins that add a boolean marker. -prune and -quit depend on the order of evaluation: each gets
-the condition under which it is reached, from its left neighbours; pruned subtrees go by an anti join on exploded
-ancestors, an equi-join; -quit cuts at the entry_id of its n-th hit. Below a negation leaves are made sure, null being false; elsewhere they
+the condition under which it is reached, from its left neighbours; pruned subtrees go by an anti join on directories,
+whose ancestors are looked up by an equi-join; -quit cuts at the entry_id of its n-th hit. Below a negation leaves are made sure, null being false; elsewhere they
 may be null, which selects nothing just so and lets filters reach the scan.
 """
 
@@ -39,14 +39,55 @@ ENTRIES = T.StructType(
 
 _ids = itertools.count()
 
+CONTENTS = n.ContentContains | n.ContentRegex | n.ContentFuzzy
+STATS = n.Empty | n.Access | n.Perm | n.Unowned
+WANTED = "_wanted"
+
+
+def needs_stats(node: n.Expr) -> bool:
+    return isinstance(node, STATS) or (isinstance(node, n.Number) and node.field != "depth")
+
+
+def needs_content(node: n.Expr) -> bool:
+    return isinstance(node, CONTENTS)
+
+
+def bound(node: n.Expr, unknown: Callable[[n.Expr], bool], upper: bool) -> n.Expr:
+    """What holds whenever the tree may hold (upper), or only where it must hold, whatever the unknown leaves say."""
+    if isinstance(node, n.UpDir | n.DownDir):  # other rows' predicates are worked out apart
+        return node
+    if unknown(node):
+        return n.Const(upper)
+    if isinstance(node, n.Not):
+        return n.Not(bound(node.child, unknown, not upper))
+    if isinstance(node, n.And | n.Or):
+        return type(node)(bound(node.left, unknown, upper), bound(node.right, unknown, upper))
+    if isinstance(node, n.Xor):
+        return n.Const(upper) if _open(node, unknown) else node
+    if isinstance(node, n.Quit):
+        return bound(node.child, unknown, upper)
+    return node
+
+
+def _open(node: n.Expr, unknown: Callable[[n.Expr], bool]) -> bool:
+    """Whether the tree has an unknown leaf of the row's own."""
+    return unknown(node) or (not isinstance(node, n.UpDir | n.DownDir) and any(_open(c, unknown) for c in node.children))
+
 
 @dataclass
 class Context:
-    """What a query is compiled with: all entries (roots included), the time it runs at, and how contents are read."""
+    """What a query is compiled with: all entries (roots included), the time it runs at, and how what the table lacks, or
+    had when it was made, is read.
+
+    load_content and load_stats take rows with a boolean column WANTED. They come after every predicate that can do
+    without them: load_content(rows, whole) adds contents, of binary files their head alone unless whole;
+    load_stats(rows) puts what the file system says now in place of the table's columns.
+    """
 
     entries: DataFrame
     now: float = field(default_factory=time.time)
-    load_content: Callable[[DataFrame], DataFrame] | None = None
+    load_content: Callable[[DataFrame, bool], DataFrame] | None = None
+    load_stats: Callable[[DataFrame], DataFrame] | None = None
     inclusive_quit: bool = False
     #: Markers of actions that have run: (entry_id, column) tables by action.
     done: dict[int, DataFrame] = field(default_factory=dict)
@@ -201,6 +242,7 @@ class Compiler:
             return df, x & y if isinstance(node, n.And) else x | y
         if isinstance(node, n.UpDir | n.DownDir):
             keys, key = self.keys(node)
+            keys = keys.distinct()
             name = self.markers.setdefault((node, key), f"_marker{next(_ids)}")
             if name not in df.columns:
                 df = df.join(keys.select(F.col("key").alias(f"{name}_key"), F.lit(True).alias(name)), F.col(key) == F.col(f"{name}_key"), "left").drop(f"{name}_key")
@@ -226,13 +268,13 @@ class Compiler:
         return df, *columns
 
     def keys(self, node: n.UpDir | n.DownDir) -> tuple[DataFrame, str]:
-        """The keys for which the modifier holds, each once, and the column that they are looked up by."""
-        inner = self.filtered(self.base(node.child), node.child)
+        """The keys for which the modifier holds, and the column that they are looked up by; some may come again."""
+        inner = self.filtered(self.context.entries, node.child)
         if isinstance(node, n.UpDir):
-            return inner.select(F.col("path").alias("key")).distinct(), "parent_path"
+            return inner.select(F.col("path").alias("key")), "parent_path"
         inner = inner.filter(~_sure(F.col("is_root"))).select(F.col("parent_path").alias("key"))
         if node.least <= 1 and node.most is None:
-            return inner.filter("key IS NOT NULL").distinct(), "path"
+            return inner.filter("key IS NOT NULL"), "path"
         counts = inner.groupBy("key").agg(F.count("*").alias("children"))
         held = F.col("children") >= max(1, node.least)
         if node.most is not None:
@@ -240,7 +282,8 @@ class Compiler:
         return counts.filter(held).select("key"), "path"
 
     def filtered(self, df: DataFrame, node: n.Expr) -> DataFrame:
-        """The rows for which the tree holds: conjuncts that look at other entries as semi joins, the rest in order."""
+        """The rows for which the tree holds: conjuncts that look at other entries as semi joins, the rest in order;
+        what is not in the table is read for rows that all else lets pass, where it decides."""
         before, self.plain = self.plain, True
         try:
             return self._filtered(df, node)
@@ -248,36 +291,49 @@ class Compiler:
             self.plain = before
 
     def _filtered(self, df: DataFrame, node: n.Expr) -> DataFrame:
-        plain: list[n.Expr] = []
-        semi: list[n.Expr] = []
-        for part in flatten(node, n.And):
-            (semi if isinstance(part, n.UpDir | n.DownDir) else plain).append(part)
-        columns = set(df.columns)
+        columns = df.columns
+        parts = flatten(node, n.And)
+        loads = [(needs_stats, lambda rows, _: self.context.load_stats(rows))] if self.context.load_stats else []
+        if "content" not in columns:
+            loads.append((needs_content, self.load_content))
+        for i, (_, load) in enumerate(loads):
+            later = [test for test, _ in loads[i:]]
+            unknown = lambda x, later=later: any(test(x) for test in later)
+            rest = [p for p in parts if _open(p, unknown)]
+            df = self._held(df, [p for p in parts if p not in rest])
+            parts = rest
+            if any(_open(p, later[0]) for p in rest):
+                df = self._held(df, [optimize(bound(p, unknown, True)) for p in rest])
+                df, sure = self.column(df, optimize(self._all([bound(p, unknown, False) for p in rest])))
+                df = load(df.withColumn(WANTED, ~_sure(sure)), node).drop(WANTED)
+        df = self._held(df, parts)
+        return df.drop(*(c for c in df.columns if c not in columns))
+
+    def _held(self, df: DataFrame, parts: list[n.Expr]) -> DataFrame:
+        """The rows for which all parts hold."""
         held = None
-        for part in plain:
-            df, x = self.column(df, part)
-            held = x if held is None else held & x
+        for part in parts:
+            if not isinstance(part, n.UpDir | n.DownDir):
+                df, x = self.column(df, part)
+                held = x if held is None else held & x
         if held is not None:
             df = df.filter(held)
-        for part in semi:
-            keys, key = self.keys(part)
-            df = df.join(keys, df[key] == keys["key"], "left_semi")
-        return df.drop(*(c for c in df.columns if c not in columns))
+        for part in parts:
+            if isinstance(part, n.UpDir | n.DownDir):
+                keys, key = self.keys(part)
+                df = df.join(keys, df[key] == keys["key"], "left_semi")
+        return df
+
+    def load_content(self, df: DataFrame, tree: n.Expr) -> DataFrame:
+        if self.context.load_content is None:
+            raise InvalidParameter("this table has no contents")
+        return self.context.load_content(df, any(isinstance(x, CONTENTS) and x.binary for x in tree.walk()))
 
     @property
     def binary_content(self) -> bool:
         entries = self.context.entries
         return "content" not in entries.columns or isinstance(entries.schema["content"].dataType, T.BinaryType)
 
-    def base(self, node: n.Expr) -> DataFrame:
-        """All entries, with contents if the tree needs them and the table has none."""
-        entries = self.context.entries
-        if "content" not in entries.columns and any(isinstance(x, n.ContentContains | n.ContentRegex | n.ContentFuzzy) for x in node.walk()):
-            if self.context.load_content is None:
-                raise InvalidParameter("this table has no contents")
-            entries = self.context.load_content(entries)
-        return entries
-
     def reached(self, tree: n.Expr, kind: type) -> list[tuple[n.Expr, n.Expr]]:
         """(node, the condition under which it is evaluated) of every node of a kind, in order of evaluation."""
         out: list[tuple[n.Expr, n.Expr]] = []
@@ -307,8 +363,11 @@ class Compiler:
         rows = start
         for prune, reach in self.reached(tree, n.Prune):
             pruned = self.filtered(start.filter("ftype = 'd'"), optimize(n.And(reach, prune.child))).select(F.col("path").alias("pruned"))
-            below = rows.select("path", F.explode(ancestors(F.col("path"))).alias("pruned")).join(pruned, "pruned", "left_semi").select(F.col("path").alias("below")).distinct()
-            rows = rows.join(below, rows["path"] == below["below"], "left_anti")
+            # of directories alone, which are few, all ancestors are looked up; their entries then go by parent
+            folders = rows.select("parent_path").distinct()
+            above = F.array_append(ancestors(F.col("parent_path")), F.col("parent_path"))
+            cut = folders.select(F.col("parent_path").alias("below"), F.explode(above).alias("pruned")).join(pruned, "pruned", "left_semi")
+            rows = rows.join(cut, rows["parent_path"] == cut["below"], "left_anti")
         for quit_, reach in self.reached(tree, n.Quit):
             hits = self.filtered(rows, optimize(n.And(reach, quit_.child))).select("entry_id").orderBy("entry_id").limit(quit_.n)
             # the n-th hit, or null: a scalar subquery
@@ -317,10 +376,10 @@ class Compiler:
             rows = rows.filter(last.isNull() | (here <= last if self.context.inclusive_quit else here < last))
         return rows
 
-    def search(self, tree: n.Expr, start: Column | None = None) -> DataFrame:
-        """The entries below a start that the tree holds for."""
+    def search(self, tree: n.Expr, start: Column | None = None, proposed: DataFrame | None = None) -> DataFrame:
+        """The entries below a start that the tree holds for; proposed: some rows that have them all."""
         tree = optimize(tree)
-        rows = self.base(tree).filter(~_sure(F.col("is_root")))
+        rows = (self.context.entries if proposed is None else proposed).filter(~_sure(F.col("is_root")))
         if start is not None:
             rows = rows.filter(start)
         return self.filtered(self.visited(tree, rows), tree)

@@ -1,15 +1,13 @@
-"""Expressions as immutable trees. Every node knows its cost and the share of entries it holds for."""
+"""Expressions as immutable trees. Every node knows what Spark has to do for it, so that the least comes first."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-# Seconds for an entry and share of entries that pass, by kind of predicate.
-COSTS = {
-    "const": (1e-8, 1.0), "type_file": (2e-8, 0.9), "type": (2e-8, 0.1), "contains": (1e-7, 0.1), "contains_full": (2e-7, 0.6), "glob": (2e-7, 0.5), "glob_full": (3e-7, 0.8),
-    "regex": (1e-6, 0.05), "fuzzy": (1e-6, 0.07), "stat": (1e-5, 0.1), "depth": (1e-7, 0.1), "empty": (1e-5, 1.0), "access": (1e-5, 0.5), "perm": (1.2e-5, 0.5), "owner": (1.2e-5, 0.4),
-    "content_contains": (1e-4, 0.1), "content_regex": (5e-4, 0.1), "content_fuzzy": (5e-4, 0.15), "print": (1e-4, 1.0), "delete": (1e-5, 0.8), "exec": (1e-3, 0.5),
-}
+
+#: What is done for a row: numbers are compared, substrings sought, patterns matched, scores worked out, other rows
+#: looked at, contents read.
+COMPARE, SEEK, MATCH, SCORE, LOOK_AROUND, READ = range(6)
 
 
 class Expr:
@@ -17,6 +15,8 @@ class Expr:
 
     #: Whether evaluating the node can be seen, so that nothing may move across it.
     barrier = False
+    #: The dearest thing done for a row by the node itself.
+    effort = COMPARE
 
     def __and__(self, other: Expr) -> Expr:
         return And(self, other)
@@ -48,28 +48,23 @@ class Expr:
         """Whether the node or any below is a barrier."""
         return any(n.barrier for n in self.walk())
 
-    def weight(self) -> tuple[float, float]:
-        """(cost, share of entries that pass)."""
-        return COSTS["const"]
+    @property
+    def whole_effort(self) -> int:
+        """The dearest thing done by the node or any below."""
+        return max(n.effort for n in self.walk())
 
 
 @dataclass(frozen=True)
 class Const(Expr):
     value: bool
 
-    def weight(self):
-        return COSTS["const"][0], float(self.value)
-
 
 @dataclass(frozen=True)
 class Glob(Expr):
     pattern: str
     target: str = "basename"
     icase: bool = False
-
-    def weight(self):
-        cost, share = COSTS["glob_full" if self.target == "path" else "glob"]
-        return cost, share * 0.1 ** min(3, max(0, len(self.pattern.strip("*?")) - 2) / 3)
+    effort = SEEK
 
 
 @dataclass(frozen=True)
@@ -77,10 +72,7 @@ class Contains(Expr):
     needle: str
     target: str = "basename"
     icase: bool = False
-
-    def weight(self):
-        cost, share = COSTS["contains_full" if self.target == "path" else "contains"]
-        return cost, share * 0.1 ** min(3, max(0, len(self.needle) - 2) / 3)
+    effort = SEEK
 
 
 @dataclass(frozen=True)
@@ -89,9 +81,7 @@ class Regex(Expr):
     target: str = "path"
     icase: bool = False
     exact: bool = False
-
-    def weight(self):
-        return COSTS["regex"]
+    effort = MATCH
 
 
 @dataclass(frozen=True)
@@ -99,18 +89,13 @@ class Fuzzy(Expr):
     needle: str
     target: str = "basename"
     cutoff: float = 85.0
-
-    def weight(self):
-        return COSTS["fuzzy"]
+    effort = SCORE
 
 
 @dataclass(frozen=True)
 class Type(Expr):
     kinds: str
 
-    def weight(self):
-        return COSTS["type_file" if "f" in self.kinds else "type"]
-
 
 @dataclass(frozen=True)
 class Number(Expr):
@@ -121,14 +106,10 @@ class Number(Expr):
     value: int
     unit: int = 1
 
-    def weight(self):
-        return COSTS["depth" if self.field == "depth" else "stat"]
-
 
 @dataclass(frozen=True)
 class Empty(Expr):
-    def weight(self):
-        return COSTS["empty"]
+    """A directory without entries, or a file without bytes."""
 
 
 @dataclass(frozen=True)
@@ -137,9 +118,6 @@ class Access(Expr):
     write: bool = False
     execute: bool = False
 
-    def weight(self):
-        return COSTS["access"][0], 0.9**self.read * 0.6**self.write * 0.3**self.execute
-
 
 @dataclass(frozen=True)
 class Perm(Expr):
@@ -148,10 +126,6 @@ class Perm(Expr):
     bits: int
     how: str = ""
 
-    def weight(self):
-        n = self.bits.bit_count()
-        return COSTS["perm"][0], {"": 0.9**n, "-": 0.85**n, "/": 1 - 0.85**n}[self.how]
-
 
 @dataclass(frozen=True)
 class Unowned(Expr):
@@ -159,18 +133,13 @@ class Unowned(Expr):
 
     group: bool = False
 
-    def weight(self):
-        return COSTS["owner"]
-
 
 @dataclass(frozen=True)
 class ContentContains(Expr):
     needle: str
     icase: bool = False
     binary: bool = False
-
-    def weight(self):
-        return COSTS["content_contains"]
+    effort = READ
 
 
 @dataclass(frozen=True)
@@ -178,9 +147,7 @@ class ContentRegex(Expr):
     pattern: str
     icase: bool = False
     binary: bool = False
-
-    def weight(self):
-        return COSTS["content_regex"]
+    effort = READ
 
 
 @dataclass(frozen=True)
@@ -188,9 +155,7 @@ class ContentFuzzy(Expr):
     needle: str
     cutoff: float = 90.0
     binary: bool = False
-
-    def weight(self):
-        return COSTS["content_fuzzy"]
+    effort = READ
 
 
 @dataclass(frozen=True)
@@ -200,6 +165,7 @@ class Custom(Expr):
     name: str
     arguments: tuple[str, ...]
     build: object = field(compare=False, hash=False, default=None)
+    effort = SCORE
 
 
 @dataclass(frozen=True)
@@ -213,21 +179,15 @@ class _Pair(Expr):
 
 
 class And(_Pair):
-    def weight(self):
-        (c, s), (d, t) = self.left.weight(), self.right.weight()
-        return c + d * s, s * t
+    """Both hold; the right one is not looked at where the left one fails."""
 
 
 class Or(_Pair):
-    def weight(self):
-        (c, s), (d, t) = self.left.weight(), self.right.weight()
-        return c + d * (1 - s), s + t - s * t
+    """One holds; the right one is not looked at where the left one does."""
 
 
 class Xor(_Pair):
-    def weight(self):
-        (c, s), (d, t) = self.left.weight(), self.right.weight()
-        return c + d, s + t - 2 * s * t
+    """Exactly one holds."""
 
 
 def nand(a: Expr, b: Expr) -> Expr:
@@ -252,17 +212,13 @@ class _Over(Expr):
 
 
 class Not(_Over):
-    def weight(self):
-        cost, share = self.child.weight()
-        return cost, 1 - share
+    """The child does not hold."""
 
 
 class UpDir(_Over):
     """The child holds for the entry's parent."""
 
-    def weight(self):
-        cost, share = self.child.weight()
-        return 0.4 * cost + 2e-7, share
+    effort = LOOK_AROUND
 
 
 @dataclass(frozen=True)
@@ -271,10 +227,7 @@ class DownDir(_Over):
 
     least: int = 1
     most: int | None = None
-
-    def weight(self):
-        cost, share = self.child.weight()
-        return 8 * cost + 2e-7, share
+    effort = LOOK_AROUND
 
 
 @dataclass(frozen=True)
@@ -291,9 +244,6 @@ class Quit(_Over):
     n: int = 1
     barrier = True
 
-    def weight(self):
-        return self.child.weight()
-
 
 @dataclass(frozen=True)
 class Action(Expr):
@@ -305,5 +255,3 @@ class Action(Expr):
     dry: bool = False
     barrier = True
 
-    def weight(self):
-        return COSTS["print" if "print" in self.kind else "delete" if self.kind == "delete" else "exec"]

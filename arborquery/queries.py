@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .engine import Engine, Settings
 from .operators import trigram
 from .plans import nodes as n
 from .plans.compiler import Context, Compiler, below, compile_search, with_all_columns
 from .plans.parser import parse
-from .sources.tables import business_tree, file_entries, table
+from .sources.tables import business_catalog, file_entries, table
 
 #: The time that ages are counted from: 2024-02-01 00:00:00 UTC.
 NOW = 1706745600
@@ -28,11 +29,13 @@ UNION ALL SELECT ((CAST(r_regionkey AS BIGINT) * 100 + n_nationkey + 1) * 100000
   'o' || o_orderkey || '.' || o_orderpriority, '/' || r_name || '/' || n_name || '/' || c_name, 4, CAST(floor(o_totalprice) AS BIGINT), o_orderdate FROM od)
 """
 _PARTS = """WITH e AS (SELECT p_partkey AS entry_id, CASE WHEN p_partkey % 7 = 3 THEN 'l' ELSE 'f' END AS ftype, '/' || p_brand || '/' || p_name AS path, p_name AS basename, '/' || p_brand AS parent_path,
-  CAST(p_retailprice AS BIGINT) AS size, CASE WHEN p_partkey % 7 = 3 THEN '../' || p_type || '/' || p_name END AS link_target, (p_size * 37) % 512 AS mode, p_size % 5 AS uid FROM part) """
+  CAST(p_retailprice AS BIGINT) AS size, CASE WHEN p_partkey % 7 = 3 THEN '../' || p_type || '/' || p_name END AS link_target, (p_size * 37) % 512 AS mode, p_size % 5 AS uid, p_size % 3 AS gid, p_partkey % 9 AS inode, p_size % 3 <> 1 AS group_known FROM part) """
 _DOCS = """WITH e AS (SELECT d.doc_id AS entry_id, 'f' AS ftype, '/' || source || '/' || d.doc_id || '.' || lang AS path, d.doc_id || '.' || lang AS basename, '/' || source AS parent_path, n_chars AS size,
   text AS content, l.doc_id IS NOT NULL AS user_known FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)) """
 _TALK = """WITH e AS (SELECT conv_id * 10000 + turn AS entry_id, 'f' AS ftype, '/' || conv_id || '/' || turn || '.' || role AS path, turn || '.' || role AS basename, text AS content FROM conversations) """
-_EVENTS = """WITH e AS (SELECT event_id AS entry_id, 'f' AS ftype, '/' || event_type || '/' || event_id AS path, CAST(event_id AS VARCHAR) AS basename, ts AS mtime FROM events) """
+_EVENTS = """WITH e AS (SELECT event_id AS entry_id, 'f' AS ftype, '/' || event_type || '/' || event_id AS path, CAST(event_id AS VARCHAR) AS basename, ts AS mtime,
+  ts + to_days(CAST(user_id % 5 AS INTEGER)) AS atime, ts - to_hours(CAST(user_id % 7 AS INTEGER)) AS ctime FROM events) """
+_MIXED = """WITH e AS (SELECT page_id AS entry_id, 'f' AS ftype, '/' || page_id AS path, length(html) % 3 = 0 AS early, html AS content FROM pages) """
 _PAGES = """WITH e AS (SELECT page_id AS entry_id, 'f' AS ftype, url AS path, html AS content FROM pages) """
 
 
@@ -41,7 +44,7 @@ def _text(c: str):
 
 
 def tree(s: SparkSession, d: str) -> DataFrame:
-    return business_tree(s, d)
+    return business_catalog(s, d)
 
 
 def parts(s: SparkSession, d: str) -> DataFrame:
@@ -49,7 +52,8 @@ def parts(s: SparkSession, d: str) -> DataFrame:
     link = c("p_partkey") % 7 == 3
     out = file_entries(
         table(s, d, "part"), "p_partkey", F.concat(F.lit("/"), "p_brand", F.lit("/"), "p_name"), size=F.rint("p_retailprice").cast("long"),
-        link_target=F.when(link, F.concat(F.lit("../"), "p_type", F.lit("/"), "p_name")), mode=(c("p_size") * 37 % 512).cast("int"), uid=(c("p_size") % 5).cast("int"),
+        link_target=F.when(link, F.concat(F.lit("../"), "p_type", F.lit("/"), "p_name")), mode=(c("p_size") * 37 % 512).cast("int"), uid=(c("p_size") % 5).cast("int"), gid=(c("p_size") % 3).cast("int"),
+        inode=c("p_partkey") % 9, group_known=c("p_size") % 3 != 1,
     )
     return out.withColumn("ftype", F.when(c("link_target").isNotNull(), "l").otherwise("f"))
 
@@ -66,14 +70,22 @@ def talk(s: SparkSession, d: str) -> DataFrame:
 
 
 def events(s: SparkSession, d: str) -> DataFrame:
-    return file_entries(table(s, d, "events"), "event_id", F.concat(F.lit("/"), "event_type", F.lit("/"), _text("event_id")), mtime=F.col("ts").cast("timestamp"))
+    at = F.col("ts").cast("timestamp")
+    return file_entries(table(s, d, "events"), "event_id", F.concat(F.lit("/"), "event_type", F.lit("/"), _text("event_id")), mtime=at, atime=at + F.make_dt_interval(days=F.col("user_id") % 5), ctime=at - F.make_dt_interval(hours=F.col("user_id") % 7))
 
 
 def pages(s: SparkSession, d: str) -> DataFrame:
     return file_entries(table(s, d, "pages"), "page_id", F.col("url"), content=F.col("html"))
 
 
-_SOURCES = {tree: _TREE, parts: _PARTS, docs: _DOCS, talk: _TALK, events: _EVENTS, pages: _PAGES}
+def mixed(s: SparkSession, d: str) -> DataFrame:
+    """Pages as bytes: every third has a zero byte at its start, the others have one after their first 4096 bytes."""
+    html = F.col("html").cast("string")
+    data = F.when(F.length(html) % 3 == 0, F.concat(F.lit("\0"), html)).otherwise(F.concat(html, F.repeat(F.lit(" "), 4096), F.lit("\0")))
+    return file_entries(table(s, d, "pages"), "page_id", F.concat(F.lit("/"), _text("page_id")), content=F.encode(data, "UTF-8"))
+
+
+_SOURCES = {mixed: _MIXED, tree: _TREE, parts: _PARTS, docs: _DOCS, talk: _TALK, events: _EVENTS, pages: _PAGES}
 
 
 def partial_ratio_sql(column: str, needle: str) -> str:
@@ -114,6 +126,16 @@ _FIND: dict[str, tuple[Callable, str, str]] = {
     "age_days": (events, "-mtime +10", f"floor((epoch({{now}}) - epoch(mtime)) / 86400) > 10"),
     "age_minutes": (events, "-mmin -30000 -a -mmin +29000", f"floor((epoch({{now}}) - epoch(mtime)) / 60) < 30000 AND floor((epoch({{now}}) - epoch(mtime)) / 60) > 29000"),
     "age_day_exact": (events, "-mtime 20", f"floor((epoch({{now}}) - epoch(mtime)) / 86400) = 20"),
+    "access_days": (events, "-atime -12 -o -atime 40", "floor((epoch({now}) - epoch(atime)) / 86400) < 12 OR floor((epoch({now}) - epoch(atime)) / 86400) = 40"),
+    "change_days": (events, "-ctime +25", "floor((epoch({now}) - epoch(ctime)) / 86400) > 25"),
+    "access_minutes": (events, "-amin -20000", "floor((epoch({now}) - epoch(atime)) / 60) < 20000"),
+    "change_minutes": (events, "-cmin +40000", "floor((epoch({now}) - epoch(ctime)) / 60) > 40000"),
+    "inode_number": (parts, "-inode 4 -o -inode +7", "inode = 4 OR inode > 7"),
+    "gid_number": (parts, "-gid -2", "gid < 2"),
+    "group_number": (parts, "-group 1 ! -gid 0", "gid = 1"),
+    "no_group": (parts, "-nogroup", "NOT group_known"),
+    "content_text_only": (mixed, "-content-strstr '<p>'", "NOT early AND contains(content, '<p>')"),
+    "content_binary": (mixed, "-content-regex --binary '<h[12]>[A-Z]' -a ! -content-strstr '<p>'", "regexp_matches(content, '<h[12]>[A-Z]') AND NOT (NOT early AND contains(content, '<p>'))"),
     "uid_number": (parts, "-uid 3 -o -uid +3", "uid >= 3"),
     "user_number": (parts, "-user 2", "uid = 2"),
     "permission_all": (parts, "-perm -044", "(mode & 36) = 36"),
@@ -213,10 +235,28 @@ def _scores(s, d):
     return parts(s, d).select("entry_id", F.round(similarity(F.col("basename"), "bolts"), 6).alias("score"))
 
 
-def _index_search(s, d):
-    e = parts(s, d)
-    found = trigram.indexed(with_all_columns(e), trigram.postings(e), parse("-iname '*widget'"))
-    return _columns(found, parse("-iname '*widget'"))
+def _by_index(s, d, expression: str) -> DataFrame:
+    """A search of an engine over a table of entries, by its trigram index."""
+    return _found(Engine(s, entries=parts(s, d)).search(expression, use_index=True))
+
+
+def _newer(s, d):
+    """Events accessed after another one was changed, the path's own entry being looked up."""
+    e = events(s, d)
+    at = e.filter("path LIKE '/%/500'").agg(F.max("mtime")).scalar()
+    return _found(e.filter(F.col("atime") > at))
+
+
+def _above_root(s, d):
+    """Starts above the root are the root, and one beside it has nothing."""
+    engine = Engine(s, Settings(root_path="/ASIA"), entries=tree(s, d).filter("path LIKE '/ASIA/%'"))
+    return _found(engine.search("-type d", starts=["/", "/ASIA/", "/EUROPE"])).groupBy("entry_id", "path").agg(F.count("*").alias("times"))
+
+
+def _ignored(s, d):
+    """What a crawl that ignores two subtrees keeps: their roots without what is below."""
+    e = tree(s, d)
+    return _found(compile_search(e, parse("( ( -path /ASIA -o -path /EUROPE ) -a -prune ) -o -true")))
 
 
 def _index_intersection(s, d):
@@ -227,16 +267,21 @@ def _index_frequency(s, d):
     return trigram.candidates(trigram.postings(parts(s, d)), trigram.trigrams("blue widget"), 4)
 
 
-def _index_fuzzy(s, d):
-    e, t = parts(s, d), parse("-fuzz 'blue widgt'")
-    return _columns(trigram.indexed(with_all_columns(e), trigram.postings(e), t), t)
+#: Patterns whose wildcards stand for separators, alternatives, and conjuncts that look at parents.
+_INDEXED = ("-name '*9.2-HIGH'", "-path '*/NATION_1?Customer*'", "-path '*ATION_1[!a]Customer#00000*'", "-iname '*urgent' -o -name 'Customer*77'", "-updir -name 'Customer*7' -a -name '*LOW'")
 
 
 def _index_equals_scan(s, d):
-    """What a search by index and a scan have not in common: nothing."""
-    e, t = tree(s, d), parse("-name '*9.2-HIGH'")
-    by_index, by_scan = _columns(trigram.indexed(with_all_columns(e), trigram.postings(e), t), t), _columns(e, t)
-    return by_index.exceptAll(by_scan).unionAll(by_scan.exceptAll(by_index))
+    """Of each pattern, how many matches a search by stored postings and a scan find, and how many are not in common."""
+    e = with_all_columns(tree(s, d))
+    index, out = trigram.postings(e), None
+    for i, text in enumerate(_INDEXED):
+        t = parse(text)
+        found = Compiler(Context(e)).search(t, proposed=trigram.indexed(e, index, t)).select("entry_id", F.lit(1).alias("by_index"), F.lit(0).alias("by_scan"))
+        both = found.unionAll(compile_search(e, t).select("entry_id", F.lit(0), F.lit(1))).groupBy("entry_id").agg(F.sum("by_index").alias("a"), F.sum("by_scan").alias("b"))
+        row = both.agg(F.lit(i).alias("pattern"), F.count("*").alias("n"), F.count(F.when(F.col("a") != F.col("b"), 1)).alias("apart"))
+        out = row if out is None else out.unionAll(row)
+    return out
 
 
 def _postings(s, d):
@@ -267,12 +312,22 @@ _OTHER: dict[str, tuple[Callable, str]] = {
     "multi_start_union_all": (_starts, f"{_TREE} SELECT path, count(*) AS times FROM (SELECT path FROM e WHERE ftype = 'f' AND starts_with(path, '/ASIA/') UNION ALL SELECT path FROM e WHERE ftype = 'f' AND starts_with(path, '/ASIA/NATION_2/') UNION ALL SELECT path FROM e WHERE ftype = 'f' AND starts_with(path, '/ASIA/NATION_12/')) GROUP BY path"),
     "child_scan": (_children, f"{_TREE} SELECT entry_id, path FROM e WHERE parent_path = '/ASIA'"),
     "fuzzy_scores": (_scores, f"{_PARTS} SELECT entry_id, round({partial_ratio_sql('basename', 'bolts')}, 6) AS score FROM e"),
-    "trigram_index_search": (_index_search, f"{_PARTS} SELECT entry_id, path FROM e WHERE upper(basename) GLOB '*WIDGET'"),
+    "accessed_after": (_newer, f"{_EVENTS} SELECT entry_id, path FROM e WHERE atime > (SELECT max(mtime) FROM e WHERE basename = '500')"),
+    "start_above_root": (_above_root, f"{_TREE} SELECT entry_id, path, CAST(2 AS BIGINT) AS times FROM e WHERE ftype = 'd' AND starts_with(path, '/ASIA/')"),
+    "ignored_subtrees": (_ignored, f"{_TREE} SELECT entry_id, path FROM e WHERE NOT starts_with(path, '/ASIA/') AND NOT starts_with(path, '/EUROPE/')"),
+    "trigram_or_search": (lambda s, d: _by_index(s, d, "-iname '*widget' -o -strstr 'bolt' -o -fuzz 'blue widgt'"), f"{_PARTS} SELECT entry_id, path FROM e WHERE upper(basename) GLOB '*WIDGET' OR contains(basename, 'bolt') OR (length(basename) >= 8 AND {partial_ratio_sql('basename', 'blue widgt')} > 85)"),
+    "trigram_index_search": (lambda s, d: _by_index(s, d, "-iname '*widget'"), f"{_PARTS} SELECT entry_id, path FROM e WHERE upper(basename) GLOB '*WIDGET'"),
     "trigram_intersection": (_index_intersection, f"{_PARTS} SELECT entry_id FROM e WHERE contains(upper(basename), 'GEA') AND contains(upper(basename), 'EAR')"),
     "trigram_frequency": (_index_frequency, f"{_PARTS}, t AS ({_TRIGRAMS}) SELECT entry_id FROM t WHERE trigram IN ('BLU', 'LUE', 'UE ', 'E W', ' WI', 'WID', 'IDG', 'DGE', 'GET') GROUP BY entry_id HAVING count(*) >= 4"),
-    "trigram_fuzzy": (_index_fuzzy, f"{_PARTS} SELECT entry_id, path FROM e WHERE length(basename) >= 8 AND {partial_ratio_sql('basename', 'blue widgt')} > 85"),
+    "trigram_fuzzy": (lambda s, d: _by_index(s, d, "-fuzz 'blue widgt'"), f"{_PARTS} SELECT entry_id, path FROM e WHERE length(basename) >= 8 AND {partial_ratio_sql('basename', 'blue widgt')} > 85"),
     "trigram_postings": (_postings, f"{_PARTS}, t AS ({_TRIGRAMS}) SELECT trigram, count(*) AS n FROM t GROUP BY trigram"),
-    "index_equals_scan": (_index_equals_scan, f"{_TREE} SELECT entry_id, path FROM e WHERE false"),
+    "index_equals_scan": (_index_equals_scan, _TREE + " UNION ALL ".join(
+        f"SELECT CAST({i} AS INTEGER) AS pattern, count(*) AS n, CAST(0 AS BIGINT) AS apart FROM e WHERE {w}"
+        for i, w in enumerate((
+            "basename GLOB '*9.2-HIGH'", "regexp_matches(path, '/NATION_1.Customer')", "regexp_matches(path, 'ATION_1[^a]Customer#00000')",
+            "upper(basename) GLOB '*URGENT' OR basename GLOB 'Customer*77'", "basename GLOB '*LOW' AND parent_path IN (SELECT path FROM e WHERE basename GLOB 'Customer*7')",
+        ))
+    )),
     "quit_inclusive": (_quit_inclusive, f"{_DOCS} SELECT entry_id, path FROM e WHERE basename GLOB '*.de' ORDER BY entry_id LIMIT 30"),
     "keyset_page": (_page, f"{_DOCS} SELECT entry_id, path FROM e WHERE basename GLOB '*.es' ORDER BY entry_id LIMIT 20 OFFSET 20"),
 }

@@ -10,20 +10,24 @@ from __future__ import annotations
 import grp
 import os
 import pwd
+import re
 import stat as st
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..plans.compiler import ENTRIES
+from ..plans.compiler import ENTRIES, WANTED
 from ..shipping import ship
 
 #: Subtrees are split until there are about so many, and rows of a batch.
 SUBTREES, ROWS = 64, 8192
+#: Bytes of a file that are searched for a zero byte; contents read before they are passed on.
+HEAD, READ_BYTES = 4096, 16 << 20
 #: entry_ids that a partition may give out.
 SPAN = 1 << 40
 
@@ -51,6 +55,14 @@ def shown(name: str) -> str:
     return os.fsencode(name).decode("utf-8", "backslashreplace")
 
 
+def hidden(path: str) -> str:
+    """The name that a shown one stands for: \\xNN of a byte that is no UTF-8 becomes that byte, if there is such a file."""
+    if "\\x" in path and not os.path.lexists(path):
+        raw = re.sub(rb"\\x([89a-f][0-9a-f])", lambda m: bytes([int(m[1], 16)]), path.encode())
+        return os.fsdecode(raw)
+    return path
+
+
 def kind_of(mode: int) -> str:
     for test, kind in ((st.S_ISDIR, "d"), (st.S_ISLNK, "l"), (st.S_ISCHR, "c"), (st.S_ISBLK, "b"), (st.S_ISFIFO, "p"), (st.S_ISSOCK, "s")):
         if test(mode):
@@ -174,43 +186,58 @@ def crawl(spark: SparkSession, root: str, ignored: list[str] = (), slow: list[st
     return spark.read.format("filetree").option("root", root).option("ignored", "\n".join(ignored)).option("slow", "\n".join(slow)).load()
 
 
-def with_contents(entries):
-    """The entries with the bytes of regular files, read by the workers; null where they cannot be."""
-    ship(entries.sparkSession)
-    schema = entries.schema.jsonValue()
-
-    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def bytes_of(path: str, kind: str) -> bytes | None:
-            if kind != "f":
-                return None
-            try:
-                with open(path, "rb") as f:
-                    return f.read()
-            except OSError:
-                return None
+def _mapped(rows, load, schema):
+    """mapInArrow under bounded batches, by workers that have this package."""
+    spark = rows.sparkSession
+    ship(spark)
+    most = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None)
+    if most is None or not 0 < int(most) <= ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    return rows.mapInArrow(load, schema)
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):  # few contents at a time
-                part = batch.slice(at, 64)
-                data = [bytes_of(p, k) for p, k in zip(part.column("path").to_pylist(), part.column("ftype").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary())], [*part.schema.names, "content"])
 
+def with_contents(rows, whole: bool):
+    """The rows with the bytes of regular files, read by the workers where WANTED; null elsewhere and where they cannot
+    be. Of a file with a zero byte in its head only that is read, unless whole."""
     from pyspark.sql import types as T
 
-    return entries.mapInArrow(load, T.StructType([*T.StructType.fromJson(schema).fields, T.StructField("content", T.BinaryType())]))
+    def bytes_of(path: str, kind: str, wanted: bool) -> bytes | None:
+        if kind != "f" or not wanted:
+            return None
+        try:
+            with open(hidden(path), "rb") as f:
+                head = f.read(HEAD)
+                return head if not whole and b"\0" in head else head + f.read()
+        except OSError:
+            return None
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, size, at = [], 0, 0
+            for i, (path, kind, wanted) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("path", "ftype", WANTED)), strict=True), 1):
+                data.append(bytes_of(path, kind, wanted))
+                size += len(data[-1] or b"")
+                if size >= READ_BYTES or i == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(at, i - at).columns, pa.array(data, pa.binary())], [*batch.schema.names, "content"])
+                    data, size, at = [], 0, i
+
+    return _mapped(rows, load, T.StructType([*rows.schema.fields, T.StructField("content", T.BinaryType())]))
 
 
-def refreshed(entries):
-    """The entries with what stat and access say now; placed after cheap filters, it costs a call for each row left."""
-    ship(entries.sparkSession)
-    schema = entries.schema
+def refreshed(rows):
+    """The rows with what stat and access say now, where WANTED; entries that are gone have nulls."""
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        live = ENTRIES.fieldNames()[8:]
         arrow = to_arrow_schema(ENTRIES)
+        live = ENTRIES.fieldNames()[ENTRIES.fieldNames().index("n_children") :]
         for batch in batches:
-            rows = [row_of(p, None, 0, 0, False, None) for p in batch.column("path").to_pylist()]
-            fresh = dict(zip(arrow.names, _batch(rows, arrow).columns, strict=True)) if rows else {}
-            yield pa.RecordBatch.from_arrays([fresh[c] if c in live and c in fresh else batch.column(c) for c in batch.schema.names], schema=batch.schema)
-
-    return entries.mapInArrow(load, schema)
+            at = np.flatnonzero(batch.column(WANTED).to_numpy(zero_copy_only=False))
+            fresh = [row_of(hidden(p), None, 0, 0, False, None) for p in batch.column("path").take(pa.array(at)).to_pylist()]
+            new = dict(zip(arrow.names, _batch(fresh, arrow).columns, strict=True)) if fresh else {}
+            place = np.zeros(batch.num_rows, np.int64)
+            place[at] = np.arange(len(at)) + batch.num_rows
+            place = pa.array(np.where(place, place, np.arange(batch.num_rows)))
+            columns = [pa.concat_arrays([c, new[name].cast(c.type)]).take(place) if name in new and name in live else c for name, c in zip(batch.schema.names, batch.columns, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return _mapped(rows, load, rows.schema)

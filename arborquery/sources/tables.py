@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import stamp, written
+
+#: Catalogs written in this process, by application, tables and the state of their files.
+_catalogs: dict[tuple, DataFrame] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,3 +57,13 @@ def business_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = out.unionAll(rows(customers, place("r_regionkey", "n_nationkey", "c_custkey"), "d", 3, second, c("c_name"), none, never))
     files = rows(placed, place("r_regionkey", "n_nationkey", "c_custkey", "o_orderkey"), "f", 4, third, named, F.floor("o_totalprice").cast("long"), c("o_orderdate").cast("timestamp"))
     return out.unionAll(files)
+
+
+def business_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The business tree as an index of its own, as a crawl would be: written once while its tables stay as they are,
+    sorted by path within files, so that searches that look at it several times read it rather than join it anew."""
+    state = tuple(stamp(spark, f"{sf_dir}/{t}.parquet") for t in ("region", "nation", "customer", "orders"))
+    key = (spark.sparkContext.applicationId, sf_dir, state)
+    if key not in _catalogs:
+        _catalogs[key] = written(business_tree(spark, sf_dir).sortWithinPartitions("path"), "business-tree")
+    return _catalogs[key]

@@ -65,3 +65,16 @@ def test_columns_that_are_missing_are_null(entries):
     full = with_all_columns(entries)
     assert full.filter("uid IS NULL AND content_known IS NULL" if "content_known" in full.columns else "uid IS NULL").count() == 100
     assert compile_search(entries, parse("-uid 0 -o -mmin -5 -o -nouser -o -lname '*'")).count() == 0
+
+
+@pytest.mark.parametrize("key, most", [("updir_nested", 3), ("flagship", 5), ("prune", 4), ("downdir_nested", 3)])
+def test_hierarchies_are_read_as_often_as_they_are_looked_at(spark, key, most):
+    """A search that looks at parents of parents reads the catalog once for each level."""
+    text = plan(queries.queries()[key](spark, "/root/testdata/sf0.001"))
+    assert text.count("FileScan parquet") <= most, text
+    assert "business-tree" in text
+
+
+def test_semi_joins_need_no_distinct_keys(entries):
+    text = plan(compile_search(entries, parse("-updir -name a -a -downdir -name b")))
+    assert "HashAggregate" not in text and text.count("LeftSemi") == 2

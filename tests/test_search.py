@@ -1,12 +1,14 @@
 """Searches over a crawled tree against known counts."""
 
 import os
+import random
 import time
 
 import pytest
 
 from arborquery.engine import Engine, Settings
 from arborquery.operators import trigram
+from arborquery.plans.compiler import WANTED
 from arborquery.plans.parser import parse
 
 from .tree import make_tree, write
@@ -31,6 +33,7 @@ def count(engine, expression, **options):
     return engine.search(expression, **options).count()
 
 
+# Expressions and how many entries of the tree they hold for.
 @pytest.mark.parametrize(
     "expression, rows",
     [
@@ -166,7 +169,10 @@ def test_trigram_bounds():
     assert trigram.trigrams("Hello") == ["HEL", "ELL", "LLO"]
     assert trigram.glob_trigrams("ab*cdef?gh[i]jkl") == ["CDE", "DEF", "JKL"]
     assert trigram.path_trigrams("*/abc/*") == [] and trigram.path_trigrams("/home/us?rname") == ["RNA", "NAM", "AME"]
-    assert trigram.plan(parse("-quitmod -name abcdef"))[1] == 0
+    for barred in ("-quitmod -name abcdef", "-name ab", "-name abcdef -o -name a*", "! -name abcdef", "-updir -name abcdef"):
+        assert trigram.proposal(None, parse(barred)) is None, barred
+    assert len(trigram._wanted(parse("( -name abcdef -o -strstr ghi ) -a -updir -name x"))) == 2
+    assert trigram._wanted(parse("-name abc* -a -name abcdef*")) == [(("ABC", "BCD", "CDE", "DEF"), 4)]
 
 
 def test_slow_and_long_needles(engine):
@@ -178,3 +184,95 @@ def test_path_wildcards_may_stand_for_separators():
     """'/x/abc/def' matches both patterns, so a name need not have what stands left of ? or a set."""
     for pattern in ("*abc?def", "*abc[^x]def"):
         assert trigram.path_trigrams(pattern) == ["DEF"]
+
+
+def test_contents_are_read_for_what_all_else_lets_pass(engine, spark, monkeypatch):
+    """Of files that other predicates reject, or that match without them, nothing is read."""
+    from arborquery.sources import crawler
+
+    read, plain = [], crawler.with_contents
+
+    def spied(rows, whole):
+        wanted = rows.filter(WANTED)
+        read.append(sorted(r.path.partition("/root/")[2] for r in wanted.filter("ftype = 'f'").collect()))
+        return plain(rows, whole)
+
+    monkeypatch.setattr(crawler, "with_contents", spied)
+    for expression, rows, opened in (
+        ("-content-strstr Hello -a -name file0 -a -path '*root/dir2/file*'", 1, ["dir2/file0"]),
+        ("-updir -name dir1 -a -content-strstr Hello", 1, None),
+        ("-name file1 -o ( -path '*/dir1/file0' -a -content-strstr Hello )", None, 1),
+        ("! ( -name file* -a ! -content-strstr Hello ) -a -path '*/dir2/*'", None, None),
+        ("-type d -a -content-strstr Hello", 0, []),
+    ):
+        read.clear()
+        found = sorted(r.path for r in engine.search(expression).collect())
+        assert rows is None or len(found) == rows, expression
+        if isinstance(opened, list):
+            assert read == [opened], (expression, read)
+        elif opened:
+            assert all(p.endswith("dir1/file0") for p in read[0]), (expression, read)
+        root = engine.settings.root_path
+        every = [(r.path, r.ftype) for r in engine.search("").collect()]
+        hello = {p for p, k in every if k == "f" and b"Hello" in open(p, "rb").read() and b"\0" not in open(p, "rb").read(4096)}
+        name = lambda p: os.path.basename(p)
+        want = {
+            "-updir": lambda p, k: name(os.path.dirname(p)) == "dir1" and p in hello,
+            "-name file1": lambda p, k: name(p) == "file1" or (p.endswith("/dir1/file0") and p in hello),
+            "! ( -name": lambda p, k: "/dir2/" in p.removeprefix(root) and not (name(p).startswith("file") and p not in hello),
+        }
+        for start, test in want.items():
+            if expression.startswith(start):
+                assert found == sorted(p for p, k in every if test(p, k)), expression
+
+
+def test_filters_stand_below_the_reader_of_contents(engine):
+    engine.spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    text = engine.search("-content-strstr Hello -a -name 'fi*' -a -type f -a -size +1k", starts=[f"{engine.settings.root_path}/dir4"])._jdf.queryExecution().executedPlan().toString()
+    scan = text[text.rindex("PushedFilters") :]
+    for pushed in ("StringStartsWith(basename,fi)", "EqualTo(ftype,f)", "GreaterThan(size,1024)", "StringStartsWith(path,"):
+        assert pushed in scan.split("ReadSchema")[0], pushed
+    assert text.index("MapInArrow") < text.index("FileScan")
+    engine.spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def test_live_values(spark, tmp_path):
+    root = str(tmp_path / "root")
+    make_tree(root, 4)
+    engine = Engine(spark, Settings(str(tmp_path / "db"), root))
+    engine.update()
+    write(f"{root}/file1", " " * 5000)
+    os.chmod(f"{root}/file2", 0o400)
+    os.remove(f"{root}/file3")
+    assert [count(engine, e) for e in ("-size +4k", "-perm 0400", "-type f -a -size 0")] == [0, 0, 15]
+    assert [count(engine, e, live=True) for e in ("-type f -a -size +4k", "-perm 0400", "-type f -a -size 0", "-type f ! -size 0", "-name file1 -a -content-strstr '  ' -a -size +4k")] == [1, 1, 13, 2, 1]
+
+
+def test_index_equals_scan_for_any_pattern(spark):
+    """Random names, paths and patterns, with wildcards that may stand for separators, in conjuncts and alternatives."""
+    rng = random.Random(4)
+    part = lambda: "".join(rng.choice("abcA.") for _ in range(rng.randint(1, 6)))
+    paths = sorted({"/" + "/".join(part() for _ in range(rng.randint(1, 3))) for _ in range(300)})
+    rows = [(i, "d" if any(q.startswith(p + "/") for q in paths) else "f", p, p.rpartition("/")[2], p.rpartition("/")[0]) for i, p in enumerate(paths)]
+    engine = Engine(spark, entries=spark.createDataFrame(rows, "entry_id long, ftype string, path string, basename string, parent_path string").cache())
+    served = 0
+
+    def pattern():
+        base = list(rng.choice(paths) if rng.random() < 0.7 else part() + part())
+        for _ in range(rng.randint(0, 3)):
+            base[rng.randrange(len(base))] = rng.choice(("?", "*", "[!a]", "[a-c]", "/", "\\a"))
+        return "".join(base) if rng.random() < 0.5 else "*" + "".join(base) + rng.choice(("", "*"))
+
+    def leaf():
+        kind = rng.choice(("-name", "-iname", "-path", "-ipath", "-strstr", "-istrstr", "-fuzz", "-updir -name"))
+        text = pattern() if "str" not in kind and "fuzz" not in kind else part() + part()
+        return f"{kind} '{text}'"
+
+    for _ in range(25):
+        expression = leaf()
+        for _ in range(rng.randint(0, 2)):
+            expression = f"( {expression} ) {rng.choice(('-a', '-o', '-a !'))} {leaf()}"
+        served += trigram.proposal(engine.postings(), parse(expression)) is not None
+        by_index, by_scan = (sorted(r.entry_id for r in engine.search(expression, use_index=use).select("entry_id").collect()) for use in (True, False))
+        assert by_index == by_scan, expression
+    assert served >= 5
