@@ -7,8 +7,8 @@ segments to source segments; detection runs on the output and spans go back thro
 A text no rule touches is left as it is: its normal form is itself.
 
 Defined cases: a null or empty text has no spans; repeated rows get equal results, each its own row; an empty table
-gives an empty result; further columns of the input, whatever their names, are not read. Scans are linear, so very
-long texts are processed whole. Overlaps between different kinds are kept; in a kind, an added span may reach beyond
+gives an empty result; further columns of the input, whatever their names, are not read. Scans are linear, worded hosts
+are followed once from any place, so very long texts are processed whole. Overlaps between different kinds are kept; in a kind, an added span may reach beyond
 base spans that are fragments of it, which stay beside it, and is dropped only where a base span contains it.
 """
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 
 import pyarrow as pa
@@ -105,8 +105,12 @@ _PART = re.compile(rf"(plus[ -])|(?<![a-z]){_DW}(?![a-z])|( ?(?<![a-z])(?:dot|po
 _SIGN = r"(at|@|dot|\.)"
 _BRACKETED = re.compile(" ?(?:" + "|".join(rf"\{a} ?{_SIGN} ?\{b}" for a, b in ("[]", "()", "{}")) + rf"|< ?{_SIGN} ?>) ?")
 _BRACKET_HINT = re.compile(rf"[\[({{<] ?{_SIGN} ?[\])}}>]")
-#: name at host dot tld, with the words "at" and "dot", or one of them already a sign.
-_WORDED = re.compile(r"(?<![a-z0-9._%+-])([a-z0-9_%+-]+(?:(?:\.| dot )[a-z0-9_%+-]+)*?)( at |@)([a-z0-9-]+(?:(?: dot |\.)[a-z0-9-]+)*? dot [a-z]{2,}(?: dot [a-z]{2,})*)(?![a-z0-9])")
+#: Of name at host dot tld, with the words "at" and "dot" or one of them already a sign: what stands between, a label
+#: of the host, and what may stand for the last ones.
+_BETWEEN = re.compile(r"(?= at )|@")
+_LABEL = re.compile(r"[a-z0-9-]+")
+_LAST = re.compile(r"[a-z]{2,}(?![a-z0-9])")
+_NAME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789_%+-")
 #: The word "at" before an ordinary host; the name is what stands left of it, but for words that lead to a place.
 _AT_HOST = re.compile(r" at (?=[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?![a-z0-9]))")
 _TO_A_PLACE = frozenset(
@@ -160,6 +164,78 @@ def _glyph_sites(text: str) -> list[tuple[int, int, str]]:
     return sorted(sites)
 
 
+def _host_ends(low: str) -> Callable[[int], int | None]:
+    """A function from where a worded host begins to where it ends, or None; a place is looked at once, whoever asks."""
+    hosts: dict[int, int | None] = {}
+    lasts: dict[int, int | None] = {}
+
+    def last(at: int) -> int | None:
+        """The end of last labels joined by the word "dot"."""
+        seen, end = [], None
+        while at not in lasts and (m := _LAST.match(low, at)):
+            seen.append(at)
+            end = m.end()
+            if not low.startswith(" dot ", end):
+                break
+            at = end + 5
+        else:
+            end = lasts.setdefault(at, None) or end
+        lasts.update(dict.fromkeys(seen, end))
+        return end
+
+    def host(at: int) -> int | None:
+        seen, end = [], None
+        while True:
+            if at in hosts:
+                end = hosts[at]
+                break
+            seen.append(at)
+            if not (m := _LABEL.match(low, at)):
+                break
+            if low.startswith(" dot ", m.end()):
+                at = m.end() + 5
+                if (end := last(at)) is not None:
+                    break
+            elif low.startswith(".", m.end()):
+                at = m.end() + 1
+            else:
+                break
+        hosts.update(dict.fromkeys(seen, end))
+        return end
+
+    return host
+
+
+def _worded(low: str) -> list[tuple[int, int, int, int]]:
+    """(start, end of the name, start of the host, end) of addresses with the words "at" or "dot", from left to right."""
+    found, done, host = [], 0, _host_ends(low)
+    for m in _BETWEEN.finditer(low):
+        at, after = m.start(), m.start() + (1 if m.group() else 4)
+        if at <= done or (end := host(after)) is None:
+            continue
+        lo, start = at, None
+        while True:  # a name, and what is joined to it on the left
+            name = lo
+            while lo > done and low[lo - 1] in _NAME_CHARS:
+                lo -= 1
+            if lo == name:
+                break
+            if lo == 0 or low[lo - 1] not in _LOCAL_CHARS:
+                start = lo
+            if lo - 1 > done and low[lo - 1] == ".":
+                lo -= 1
+            elif lo - 5 > done and low.startswith(" dot ", lo - 5):
+                lo -= 5
+            else:
+                break
+        if start is not None:
+            found.append((start, at, after, end))
+            done = end
+        else:
+            done = max(done, at)
+    return found
+
+
 def _word_sites(text: str) -> list[tuple[int, int, str]]:
     low = text.lower()
     if len(low) != len(text):  # a letter whose lower case is longer: fold ASCII alone, so that offsets hold
@@ -168,9 +244,9 @@ def _word_sites(text: str) -> list[tuple[int, int, str]]:
     if _BRACKET_HINT.search(low):
         sites += [(*m.span(), "@" if next(filter(None, m.groups())) in ("at", "@") else ".") for m in _BRACKETED.finditer(low)]
     if " dot " in low or " point " in low:
-        for m in _WORDED.finditer(low):
-            sites += [(*m.span(2), "@")] * (m[2] != "@")
-            sites += [(m.start(g) + d.start(), m.start(g) + d.end(), ".") for g in (1, 3) for d in _DOT_WORD.finditer(m[g])]
+        for start, stop, begin, end in _worded(low):
+            sites += [(stop, begin, "@")] * (low[stop] != "@")
+            sites += [(*d.span(), ".") for a, b in ((start, stop), (begin, end)) for d in _DOT_WORD.finditer(low, a, b)]
         sites += [(m.start() + d.start(), m.start() + d.end(), ".") for m in _DOTTED.finditer(low) for d in _DOT_WORD.finditer(m.group())]
     for m in _AT_HOST.finditer(low):
         lo, dots = m.start(), []
