@@ -346,13 +346,11 @@ def _fitted(net: Network, flat: np.ndarray, first: np.ndarray, steps: int, rate:
 
 def vocabulary(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """(codes, first, words): every word of the texts as a place in words, where each text begins, the distinct words."""
-    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    inside = shingles.classes("space")[data]
-    edge = np.diff(inside.view(np.int8), prepend=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    data = np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)
+    inside, starts, ends = shingles.cuts(data, "space")
     offsets = np.append(0, np.cumsum(ends - starts))
     flat = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
-    first = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    first = np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in texts)]))
     return flat.indices.to_numpy().astype(np.int64), first, flat.dictionary.to_pylist()
 
 

@@ -1,20 +1,20 @@
 """Word and shingle fingerprints of many texts at once, by vector operations over their bytes.
 
-A byte becomes a random 64-bit value; a word's fingerprint is a polynomial in these, taken from prefix sums over the
-whole buffer, then mixed. A shingle's fingerprint combines those of its words in order. Texts shorter than a shingle
-have one shingle, all their words. Two different shingles share a fingerprint with probability about 2**-64.
+A word's fingerprint starts from its length and takes in eight bytes at a time, each step a bijection of what came
+before and of the bytes, mixed; so words of up to eight bytes and one length never share one. A shingle's fingerprint
+combines those of its words in order. Texts shorter than a shingle have one shingle, all their words. No structure of
+texts makes others collide: two different shingles share a fingerprint with probability about 2**-64.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes hashed in one go.
 BLOCK = 1 << 20
 
@@ -29,16 +29,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(1)
-def _bytes() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
-
-
-@lru_cache(2)
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+#: Masks of the first so many of eight bytes; words longer than LONG bytes are hashed one by one.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
+_ODD, LONG = 0x9E3779B97F4A7C15, 256
 
 
 @lru_cache(None)
@@ -54,6 +47,13 @@ def classes(kind: str) -> np.ndarray:
     return table
 
 
+def cuts(data: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(inside, starts, ends) of the words of a buffer that begins and ends between words."""
+    inside = classes(kind)[data]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    return inside, edges[::2], edges[1::2]
+
+
 class Words(NamedTuple):
     """Flat words of several texts: fingerprints, the text each is in, and each text's first word."""
 
@@ -84,20 +84,23 @@ def words(texts: list[bytes], kind: str, prefixes: tuple[int, ...] = ()) -> Word
 
 
 def _block(texts: list[bytes], kind: str, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    inside = classes(kind)[data]
-    edge = np.diff(inside.view(np.int8), prepend=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    size = 1 << max(16, (len(data) - 1).bit_length())
-    sums = np.empty(len(data) + 1, U)
-    sums[0] = 0
-    np.cumsum(_bytes()[data] * _powers(size, _BASE)[: len(data)], out=sums[1:])
-    back = _powers(size, _INVERSE)[starts]
-    text_starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    counts = np.diff(np.searchsorted(starts, text_starts))
-    lengths = (ends - starts).astype(U)
-    hashes = mix((sums[ends] - sums[starts]) * back + lengths)
-    parts = [np.where(ends - starts > p, mix((sums[np.minimum(ends, starts + p)] - sums[starts]) * back + U(0x1000 + p)), U(0)) for p in prefixes]
+    buffer = b"\n".join([b"", *texts, b"\0" * 8])
+    data = np.frombuffer(buffer, np.uint8)[: len(buffer) - 8]
+    _, starts, ends = cuts(data, kind)
+    eight = np.ndarray((len(data),), "<u8", buffer, strides=(1,))  # the 8 bytes from each place on
+    counts = np.diff(np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in texts)])))
+    lengths = ends - starts
+    begin = eight[starts]
+    hashes = mix((begin & _FIRST[np.minimum(lengths, 8)]) + lengths.astype(U) * U(_ODD))
+    left, at = np.flatnonzero((lengths > 8) & (lengths <= LONG)), 8
+    while len(left):
+        part = eight[starts[left] + at] & _FIRST[np.minimum(lengths[left] - at, 8)]
+        hashes[left] = mix(hashes[left] * U(_ODD) ^ part)
+        at += 8
+        left = left[lengths[left] > at]
+    for i in np.flatnonzero(lengths > LONG).tolist():
+        hashes[i] = int.from_bytes(blake2b(buffer[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    parts = [np.where(lengths > p, mix((begin & _FIRST[p]) + U(0x1000 + p)), U(0)) for p in prefixes]
     return hashes, counts, parts
 
 
