@@ -2,57 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import drop, shared_dir, written
 from ..shipping import ship
 
+__all__ = ["bounded_batches", "documents", "drop", "fold", "ids_and_texts", "map_arrow", "shared_dir", "written"]
+
 #: Rows and bytes of one Arrow batch: what a Python worker holds at a time (a single row may be longer).
 BATCH_ROWS, BATCH_BYTES = 2000, 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests, local mode) a folder of our own."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="arborquery-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-    except Exception:  # the session is gone: the folder's owner clears it
-        pass
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: computed once, lineage cut, any executor can reread it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table.written_to = path
-    return table
-
-
-def drop(*tables: DataFrame) -> None:
-    """Deletes tables made by written() that nothing will read again."""
-    for table in tables:
-        _remove(table.sparkSession, table.written_to)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Bounds Arrow batches by rows and bytes, unless the session has tighter bounds already."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):

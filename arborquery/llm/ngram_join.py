@@ -26,6 +26,7 @@ result; whole texts are used; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -225,19 +226,19 @@ def _candidates(docs: DataFrame, k: int, s: Scheme) -> DataFrame:
     buckets, salts = max(BUCKETS, count // BUCKET_DOCS), max(1, count // SALT_DOCS)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}  # a task's sets, so that of a group of copies one a task at most goes on
         for batch in batches:
             ids = batch.column(0).to_numpy()
             values, first = fingerprints(batch.column(1).to_pylist(), k)
-            seen: dict[bytes, int] = {}
             keep, copies = [], []
             for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
                 if a < b:
-                    j = seen.setdefault(values[a:b].tobytes(), i)
-                    if j == i:
+                    print_ = blake2b(values[a:b].tobytes(), digest_size=16).digest()
+                    if print_ not in seen:
+                        seen[print_] = int(ids[i])
                         keep.append(i)
-                    elif ids[i] != ids[j]:
-                        copies.append((ids[j], ids[i]))
-            del seen
+                    elif ids[i] != seen[print_]:
+                        copies.append((seen[print_], ids[i]))
             own = np.array(keep, np.int64)
             sizes = np.diff(first)[own]
             values, first = values[_spans(first[own], sizes)], np.append(0, np.cumsum(sizes))
@@ -311,8 +312,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, s: Scheme, sketch: bool
     return texts.groupBy("a", "part").applyInArrow(reduced, "a long, b long, linked boolean, n long, level int, cells binary, upper binary")
 
 
-def near(n: np.ndarray, level: np.ndarray, cells: list[bytes], upper: list[bytes | None], label: np.ndarray, minor: np.ndarray, first: bool, s: Scheme) -> list[tuple[int, int]]:
-    """Places (x, y) of different labels, x minor, whose sketches allow a link; first: minor pairs too."""
+def near(n: np.ndarray, level: np.ndarray, cells: list[bytes], upper: list[bytes | None], label: np.ndarray, minor: np.ndarray, side: np.ndarray, s: Scheme) -> list[tuple[int, int]]:
+    """Places (x, y) of different labels, x minor, whose sketches allow a link; of different sides if there are two."""
+    across = len(np.unique(side)) > 1
     out = []
     stacks: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
     for band in np.unique(level).tolist():
@@ -326,7 +328,9 @@ def near(n: np.ndarray, level: np.ndarray, cells: list[bytes], upper: list[bytes
             if mine is None or key not in stacks:
                 continue
             ys, table = stacks[key]
-            ok = (label[ys] != label[x]) & (~minor[ys] | (first & (ys > x)))
+            ok = (label[ys] != label[x]) & (~minor[ys] | (ys > x))
+            if across:
+                ok &= side[ys] != side[x]
             most = s.apart(n[x], n[ys])
             ok &= np.abs(n[x] - n[ys]) <= most
             ys, most, table = ys[ok], most[ok], table[ok]
@@ -345,18 +349,20 @@ def _open_pairs(members: DataFrame, classed: DataFrame, s: Scheme) -> DataFrame:
     major = named.groupBy("met", "label").agg(F.count("*").alias("n")).groupBy("met").agg(F.max(F.struct("n", "label"))["label"].alias("major"), F.count("*").alias("labels"), F.sum("n").alias("n"))
     major = major.filter("labels > 1").select("met", "major", F.ceil(F.col("n") / BLOCK).alias("parts"))
     open_ = named.join(major, "met").join(classed.drop("label", "family"), "node").withColumn("minor", F.col("label") != F.col("major"))
-    every = F.explode(F.when(F.col("minor"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), "parts"))))
-    dealt = open_.select("met", every.alias("part"), "node", "label", "minor", "n", "level", "cells", "upper")
+    # a key's documents are dealt into parts, and every two parts meet: no task has more than two of them
+    own = F.pmod(F.xxhash64("node"), "parts")
+    meet = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda q: F.struct(F.least(own, q).alias("low"), F.greatest(own, q).alias("high"))))
+    dealt = open_.select("met", meet.alias("at"), own.alias("side"), "node", "label", "minor", "n", "level", "cells", "upper")
 
     def reduced(table: pa.Table) -> pa.Table:
         nodes = table.column("node").to_numpy()
         columns = [table.column(c).to_numpy() for c in ("n", "level")]
-        found = near(*columns, table.column("cells").to_pylist(), table.column("upper").to_pylist(), table.column("label").to_numpy(), table.column("minor").to_numpy(zero_copy_only=False), table.column("part")[0].as_py() == 0, s)
+        found = near(*columns, table.column("cells").to_pylist(), table.column("upper").to_pylist(), table.column("label").to_numpy(), table.column("minor").to_numpy(zero_copy_only=False), table.column("side").to_numpy(), s)
         pairs = np.array(found, np.int64).reshape(-1, 2)
         pairs = np.unique(np.sort(nodes[pairs], axis=1), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
-    return dealt.groupBy("met", "part").applyInArrow(reduced, "a long, b long").filter("a < b").distinct()
+    return dealt.select("met", "at.low", "at.high", *dealt.columns[2:]).groupBy("met", "low", "high").applyInArrow(reduced, "a long, b long").filter("a < b").distinct()
 
 
 def _classed(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -376,7 +382,7 @@ def classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFram
     labels = components(tested.filter("linked").select("a", "b").unionAll(found.filter("kind = 1").select("a", "b")))
     apart = _classed(tested.filter("NOT linked AND a <> b").select("a", "b"), labels)
     families = components(apart).select(F.col("node").alias("label"), F.col("label").alias("family"))
-    marks = tested.filter("level >= 0").dropDuplicates(["b", "n"]).select(F.col("b").alias("node"), "n", "level", "cells", "upper")
+    marks = tested.filter("level >= 0").dropDuplicates(["b", "n", "level", "cells", "upper"]).select(F.col("b").alias("node"), "n", "level", "cells", "upper")
     classed = marks.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(families, "label")
     members = found.filter("kind = 2").select(F.col("a").alias("met"), F.col("b").alias("node")).distinct()
     more = written(_open_pairs(members, classed, s).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "join-more")
@@ -405,7 +411,7 @@ def joined(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame
 
 
 def representatives(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The documents less all but the smallest doc_id of each class."""
+    """The documents less all but the smallest doc_id of each class; rows that repeat that doc_id, or have none, stay."""
     labels = classes(docs, k, num, den).filter("node <> label").select(F.col("node").alias("doc_id"))
     return docs.join(labels, docs["doc_id"].cast("long") == labels["doc_id"], "left_anti")
 

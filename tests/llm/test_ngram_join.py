@@ -102,3 +102,27 @@ def test_query_rows(spark, odd_docs, no_docs, sf):
     assert j.op9_ngram_join(spark, sf(documents=no_docs)).collect() == []
     kept = j.representatives(odd_docs)
     assert kept.columns == odd_docs.columns and 6 not in {r.doc_id for r in kept.collect()} and kept.count() == odd_docs.count() - 1
+
+
+def test_words_of_a_structure_that_defeats_polynomials_are_apart(spark):
+    """Thue-Morse words and their complements, which every polynomial modulo 2**64 takes for equal."""
+    rows, word = [], "a"
+    for i in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+        rows += [(2 * i, word), (2 * i + 1, word.translate(str.maketrans("ab", "ba")))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in j.joined(docs, 4, 85, 100).collect()) == brute(rows, 4, 85, 100)
+    words = [f"{'x' * n}{c}" for n in (0, 1, 6, 7, 8, 15, 16, 254, 255, 256, 257, 600) for c in "yz"]
+    assert len(set(j.shingles.words([w.encode() for w in words], "space").hashes.tolist())) == len(words)
+
+
+def test_every_text_of_a_repeated_id_keeps_its_links(spark, monkeypatch):
+    """Two texts of one size under one doc_id, either linked with others."""
+    monkeypatch.setattr(j, "BLOCK", 4)
+    rng, rows = random.Random(8), []
+    for base in range(2):
+        texts = [t for _, t in family(rng, 60, [0, *[0.02] * 11], range(12))]
+        rows += [(base * 100 + i, t) for i, t in enumerate(texts)] + [(500, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = dict((i, c) for i, _, c in brute(rows, 4, 85, 100))
+    assert {r.doc_id: r.component_id for r in j.joined(docs, 4, 85, 100).collect()} == want
