@@ -236,11 +236,18 @@ def pages_of(pages: DataFrame) -> DataFrame:
 
 
 def with_responses(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """The pages with refers_to: the smallest page_id of an equal payload, if that is another page's."""
-    marked = pages_of(pages).withColumn("sum", F.unhex(F.sha1("html")))
-    large = pages_of(pages).filter(F.octet_length("html") >= least).groupBy(F.unhex(F.sha1("html")).alias("sum")).agg(F.min("page_id").alias("least"), F.count("*").alias("n"))
-    # only payloads that occur again are joined: few rows, and skew of one payload is split by the join
-    return marked.join(large.filter("n > 1").select("sum", "least"), "sum", "left").select("page_id", "url", "html", F.when(F.col("least") < F.col("page_id"), F.col("least")).alias("refers_to"))
+    """The pages with refers_to: the smallest page_id of an equal payload, if that is another page's.
+
+    Revisits are found among ids and digests alone. What joins the whole pages is the list of revisits: where it is
+    small Spark sends it to them and no page moves.
+    """
+    pages = pages_of(pages)
+    marked = pages.withColumn("sum", F.unhex(F.sha1("html")))
+    marks = pages.filter(F.octet_length("html") >= least).select("page_id", F.unhex(F.sha1("html")).alias("sum"))
+    marks = written(marks, "warc-sums")  # 28 bytes a page, read twice
+    first = marks.groupBy("sum").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    revisits = marks.join(first, "sum").filter(F.col("refers_to") < F.col("page_id")).distinct()
+    return marked.join(revisits, ["page_id", "sum"], "left").select("page_id", "url", "html", "refers_to")
 
 
 def packed(pages: DataFrame, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
