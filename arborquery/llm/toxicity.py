@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import documents, fold, ids_and_texts, map_arrow, written
+from .common import documents, drop, fold, ids_and_texts, map_arrow, written
 
 U = np.uint64
 #: Labelled documents that the classifier is fitted on, at most about; a larger table is sampled by a hash of the id.
@@ -244,6 +244,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     best = np.array([max(s, default=0.0) for s in clean["segments"]])
     k = len(clean) / float((np.maximum(clean["n"].to_numpy(), 1) * np.exp(-lam * best)).sum())
     model = models[0]._replace(lam=lam, k=k)
+    drop(rows)
     x = np.array([_signals(n, [(0, 0, v) for v in s], model) for n, s in zip(seen["n"], seen["segments"], strict=True)])
     return model._replace(weights=_logistic(x, seen["toxic"].to_numpy(float)))
 

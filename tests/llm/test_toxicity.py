@@ -1,5 +1,9 @@
+import math
 import random
+import re
+from zlib import crc32
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -72,3 +76,52 @@ def test_odd_and_empty_tables(spark, odd_docs, no_docs, corpus, sf):
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()
     assert [r.score for r in t.op2_toxicity(spark, sf(documents=odd_docs, labels=labels.limit(0))).collect()] == [0.0] * odd_docs.count()
     assert t.op2_toxicity(spark, sf(documents=no_docs, labels=labels)).collect() == []
+
+
+def test_statistics_equal_a_plain_computation(spark, corpus):
+    """Log-odds from documents that have a feature, lambda as the root of its equation, K from the best segments."""
+    docs, labels, truth = corpus
+    model = t.train(docs, labels)
+    texts: dict[str, int] = {}
+    for r in docs.collect():
+        if crc32(str(r.doc_id).encode()) % 5 and r.doc_id in truth:
+            texts[r.text] = max(texts.get(r.text, 0), truth[r.doc_id])
+
+    def words(text):
+        return re.findall(rb"[a-z\x80-\xff]+", text.lower().encode())
+
+    def features(word):
+        return {(len(word), word), *((p, word[:p], "part") for p in t.PREFIXES if len(word) > p)}
+
+    hashes, counts = {}, {}
+    for text, toxic in texts.items():
+        own = set().union(*map(features, words(text))) if words(text) else set()
+        for f in own:
+            counts.setdefault(f, [0, 0])[toxic] += 1
+            if f not in hashes:
+                w = t.shingles.words([f[1] if len(f) == 2 else f[1] + b"x"], "letters", t.PREFIXES)
+                hashes[f] = int(w.hashes[0] if len(f) == 2 else w.parts[t.PREFIXES.index(f[0])][0])
+    n = [sum(x == k for x in texts.values()) for k in (0, 1)]
+    want = {}
+    for f, (clean, toxic) in counts.items():
+        if clean + toxic < 3:
+            continue
+        prior = 0.5 + t.PRIOR * (clean + toxic) / sum(n)
+        a, b = toxic + prior, clean + prior
+        value = math.log(a / (n[1] + t.PRIOR + 1 - a)) - math.log(b / (n[0] + t.PRIOR + 1 - b))
+        z = value / math.sqrt(1 / a + 1 / b)
+        if abs(z) >= t.LEAST_Z:
+            want[hashes[f]] = value * (1 - t.CAUTION / abs(z))
+    assert dict(zip(model.keys.tolist(), model.odds.tolist(), strict=True)) == pytest.approx(want)
+
+    # scores of clean tokens under the models that were not fitted on them are near those under this one: the equation
+    # holds for the distribution that the training saw, so lambda and K are checked through their own functions
+    scores, many = np.array([2.0, 1.0, -0.5]), np.array([1, 5, 200])
+    lam = t._lambda(scores, many)
+    assert lam > 0 and (many / many.sum() * np.exp(lam * scores)).sum() == pytest.approx(1)
+    x = np.array([[0.0, 1.0], [1.0, 0.5], [2.0, 3.0], [0.5, 0.1], [3.0, 2.0], [2.5, 0.2]])
+    y = np.array([0.0, 0.0, 1.0, 1.0, 1.0, 0.0])
+    w = np.array(t._logistic(x, y))
+    loss = lambda w: np.logaddexp(0, w[0] + x @ w[1:]).sum() - (y * (w[0] + x @ w[1:])).sum() + 0.5 * len(x) * (1e-4 * ((w[1:] * x.std(0)) ** 2).sum())
+    assert all(loss(w) <= loss(w + d) + 1e-5 for i in range(3) for d in (np.eye(3)[i] * 0.01, np.eye(3)[i] * -0.01))
+    assert 0 < model.lam < 50 and 0 < model.k < 1e3 and model.weights[1] > 0
