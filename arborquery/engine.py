@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import itertools
 import os
 import time
@@ -20,10 +21,13 @@ from .plans import nodes as n
 from .plans.compiler import Compiler, Context, below, with_all_columns
 from .plans.parser import parse
 from .plans.tokens import tokenize
+from .shared import remove, shared_dir
 from .sources import crawler
 
 # Keywords of the settings file.
 _KEYWORDS = {"DB_PATH": "db_path", "ROOT_PATH": "root_path", "IGNORED_PATH": "ignored", "SLOW_PATH": "slow"}
+#: Results of an action that the driver holds before it writes them.
+RESULTS = 100_000
 LINUX_IGNORED = ["/proc", "/run", "/media", "/mnt", "/tmp", "/var/tmp"]
 
 
@@ -40,6 +44,14 @@ def rectify(path: str) -> str:
     return "/" + path.strip("/") if path.strip("/") else "/"
 
 
+def quoted(path: str) -> str:
+    """The path as one word of a settings file, in the first quotes that it does not contain, else with them escaped."""
+    for mark in "`'\"":
+        if mark not in path:
+            return f"{mark}{path}{mark}"
+    return "".join(f"\\{c}" if c in "`'\" \t\n\\" else c for c in path)
+
+
 @dataclass
 class Settings:
     """Where the index is, what it covers, and where searches start."""
@@ -82,8 +94,8 @@ class Settings:
         return out
 
     def save(self, path: str) -> None:
-        lines = [f"DB_PATH `{self.db_path}`", f"ROOT_PATH `{self.root_path}`"]
-        lines += [f"IGNORED_PATH `{p}`" for p in self.ignored] + [f"SLOW_PATH `{p}`" for p in self.slow]
+        lines = [f"DB_PATH {quoted(self.db_path)}", f"ROOT_PATH {quoted(self.root_path)}"]
+        lines += [f"IGNORED_PATH {quoted(p)}" for p in self.ignored] + [f"SLOW_PATH {quoted(p)}" for p in self.slow]
         with open(path, "w") as f:
             f.write("\n".join(lines) + "\n")
 
@@ -263,8 +275,7 @@ class Engine:
             context.inclusive_quit = options.get("inclusive_quit", False) or late  # what stands before -quit sees the entry that ends it
             rows = self._rows(compiler, tree, start)
             found = compiler.filtered(rows, reach).orderBy("entry_id").select("entry_id", "path", "ftype").toLocalIterator()
-            done = Runner(action, out, confirm).over(found)
-            context.done[id(action)] = self.spark.createDataFrame([d for d in done if d[1]], "entry_id long, ok boolean")
+            context.done[id(action)] = self._kept(Runner(action, out, confirm).over(found))
         context.inclusive_quit = options.get("inclusive_quit", False)
         matches = compiler.filtered(self._rows(compiler, tree, start), tree)
         if callback is None and actions:
@@ -275,6 +286,19 @@ class Engine:
             callback(row) if callback else (out or __import__("sys").stdout).write(row.path + "\n")
         return total
 
+    def _kept(self, results: Iterator[tuple[int, bool]]) -> DataFrame:
+        """The entries that an action succeeded for; the driver holds RESULTS of them at a time."""
+        schema, path = "entry_id long, ok boolean", f"{shared_dir(self.spark)}/action-{uuid.uuid4().hex}"
+        atexit.register(remove, self.spark, path)
+        good = (r for r in results if r[1])
+        part = list(itertools.islice(good, RESULTS))
+        if len(part) < RESULTS:
+            return self.spark.createDataFrame(part, schema)
+        while part:
+            self.spark.createDataFrame(part, schema).write.mode("append").parquet(path)
+            part = list(itertools.islice(good, RESULTS))
+        return self.spark.read.schema(schema).parquet(path)
+
     @staticmethod
     def _rows(compiler: Compiler, tree: n.Expr, start) -> DataFrame:
         rows = compiler.context.entries.filter(~F.coalesce(F.col("is_root"), F.lit(False)))

@@ -18,6 +18,8 @@ from ..shipping import ship
 
 #: Characters of a needle that fit into the expression's machine word.
 LONGEST = 62
+#: Characters of texts whose windows are held together.
+PART = 1 << 20
 
 
 def _tables(needle: str) -> dict[str, int]:
@@ -68,37 +70,79 @@ def similarity(text: Column, needle: str) -> Column:
     return F.when(length == 0, F.lit(0.0)).when(length >= n, long).otherwise(short)
 
 
+def _runs(texts: list[str], needle: str) -> np.ndarray:
+    """The scores of texts that are as long as the needle at least, over all their windows at once."""
+    n, words = len(needle), -(-len(needle) // 64)
+    masks = _tables(needle)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    # each text between n places that no character of the needle meets, so that windows at its ends are shorter
+    pad = "\0" * n
+    codes = np.frombuffer((pad + pad.join(texts) + pad).encode("utf-32-le", "surrogatepass"), np.uint32)
+    begin = np.cumsum(lengths + n) - lengths
+    inside = np.zeros(len(codes), bool)
+    for b, m in zip(begin.tolist(), lengths.tolist(), strict=True):
+        inside[b : b + m] = True
+    own = np.zeros((words, len(codes)), np.uint64)
+    for c, m in masks.items():
+        at = np.flatnonzero((codes == ord(c)) & inside)
+        for w in range(words):
+            own[w, at] = m >> 64 * w & (1 << 64) - 1
+    count = len(codes) - n + 1
+    full = [(1 << min(64, n - 64 * w)) - 1 for w in range(words)]
+    state = [np.full(count, f, np.uint64) for f in full]
+    for k in range(n):
+        carry = None
+        for w, s in enumerate(state):
+            u = s & own[w, k : k + count]
+            total = s + u
+            over = total < s
+            if carry is not None:
+                total += carry
+                over |= total < carry
+            state[w] = (total | (s - u)) & np.uint64(full[w])
+            carry = over.astype(np.uint64)
+    lcs = n - sum(np.bitwise_count(s).astype(np.int64) for s in state)
+    # the windows that begin from n - 1 before a text to its last character
+    sizes = lengths + n - 1
+    ends = np.cumsum(sizes)
+    place = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes) + 1 - n
+    text_size = np.repeat(lengths, sizes)
+    size = np.minimum(place + n, text_size) - np.maximum(place, 0)
+    score = 200.0 * lcs[place + np.repeat(begin, sizes)] / (size + n)
+    return np.maximum.reduceat(score, ends - sizes)
+
+
+def partial_ratios(texts: list[str | None], needle: str) -> list[float | None]:
+    """The scores of texts; null for null. Texts go together, in parts of bounded length."""
+    out: list[float | None] = [None if t is None else 0.0 for t in texts]
+    part: list[int] = []
+    size = 0
+
+    def done() -> None:
+        nonlocal size
+        if part:
+            for i, x in zip(part, _runs([texts[i] for i in part], needle).tolist(), strict=True):
+                out[i] = x
+        part.clear()
+        size = 0
+
+    for i, t in enumerate(texts):
+        if not t or not needle:
+            continue
+        if len(t) < len(needle):  # windows are the needle's
+            out[i] = float(_runs([needle], t)[0])
+            continue
+        part.append(i)
+        size += len(t) + len(needle)
+        if size >= PART:
+            done()
+    done()
+    return out
+
+
 def partial_ratio(text: str, needle: str) -> float:
-    """The score of one text, over all windows at once."""
-    if len(text) < len(needle):
-        text, needle = needle, text
-    n = len(needle)
-    if not n:
-        return 0.0
-    masks, full = _tables(needle), (1 << n) - 1
-    if n <= LONGEST:
-        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        own = np.zeros(len(codes) + 2 * n, np.uint64)  # padded: windows at the ends meet characters of no mask
-        for c, m in masks.items():
-            own[n : n + len(codes)][codes == ord(c)] = m
-        count = len(codes) + n - 1
-        s = np.full(count, full, np.uint64)
-        for k in range(n):
-            u = s & own[1 + k : 1 + k + count]
-            s = ((s + u) | (s - u)) & np.uint64(full)
-        start = np.arange(1 - n, len(codes))
-        size = np.minimum(start + n, len(codes)) - np.maximum(start, 0)
-        lcs = n - np.bitwise_count(s).astype(np.int64)
-        return float((200.0 * lcs / (size + n)).max())
-    best = 0.0
-    for start in range(1 - n, len(text)):
-        window = text[max(0, start) : start + n]
-        s = full
-        for c in window:
-            u = s & masks.get(c, 0)
-            s = ((s + u) | (s - u)) & full
-        best = max(best, 200.0 * (n - s.bit_count()) / (len(window) + n))
-    return best
+    """The score of one text."""
+    return partial_ratios([text], needle)[0]
 
 
 def similarity_udf(needle: str):
@@ -109,6 +153,6 @@ def similarity_udf(needle: str):
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda t: None if t is None else partial_ratio(t, needle))
+            yield pd.Series(partial_ratios([None if t is None else str(t) for t in batch], needle), dtype="Float64")
 
     return score

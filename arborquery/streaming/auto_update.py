@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import logging
+import uuid
 
 from ..engine import Engine
+from ..shared import remove, shared_dir
 
 _log = logging.getLogger(__name__)
 
@@ -31,14 +33,16 @@ class AutoUpdate:
             _log.exception("the index could not be updated")
 
     def start(self) -> AutoUpdate:
+        self._place = f"{shared_dir(self.engine.spark)}/auto-update-{uuid.uuid4().hex}"
         ticks = self.engine.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-        self._query = ticks.writeStream.trigger(processingTime=f"{max(1, round(self.seconds * 1000))} milliseconds").foreachBatch(self._turn).start()
+        self._query = ticks.writeStream.trigger(processingTime=f"{max(1, round(self.seconds * 1000))} milliseconds").option("checkpointLocation", self._place).foreachBatch(self._turn).start()
         return self
 
     def stop(self) -> None:
         if self._query is not None:
             self._query.stop()
             self._query = None
+            remove(self.engine.spark, self._place)
 
     def __enter__(self) -> AutoUpdate:
         return self.start()

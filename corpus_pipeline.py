@@ -2,7 +2,11 @@
 
 Toxic documents go; of each class of near copies (five-word shingles, Jaccard similarity of 0.8 or more) the smallest
 doc_id stays; documents that contain a benchmark item go; personal data is masked; what is left is encoded. Each stage
-works on all that the one before kept. Null texts pass as they are and count as empty.
+works on all that the one before kept.
+
+Defined cases: null texts pass as they are and count as empty; nulls elsewhere and further columns, whatever their names,
+are kept as they are; rows that repeat a doc_id stay or go together where their texts are equal, and rows without one are
+no copies of others; whole texts are used, however long; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from arborquery.llm import bpe, decontamination, ngram_join, pii, toxicity
-from arborquery.llm.common import documents, written
+from arborquery.llm.common import documents, drop, written
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +58,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents."""
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, name.replace(" ", "-"))
+            if k:
+                drop(before)
     return docs

@@ -50,6 +50,9 @@ def test_commands(engine, tmp_path):
     engine.run(f"-type f -a -exec sh -c 'echo $# >> {log}' x {{}} +")
     assert log.read_text().split() == ["15"]
     log.unlink()
+    engine.run(f"-name file0 -a -exec sh -c 'echo $# $2 >> {log}' x to={{}} {{}} +")
+    assert log.read_text().split()[0] == "16" and log.read_text().split()[1].startswith("to=/")
+    log.unlink()
     engine.run(f"-name randomSymlink -a -execdir sh -c 'pwd >> {log}' ;")
     assert log.read_text().strip().endswith("dir3")
     asked = []
@@ -67,6 +70,22 @@ def test_deleting(engine):
     assert engine.search("").count() == 7
 
 
+def test_results_beyond_the_drivers_share_are_written(engine, monkeypatch):
+    from arborquery import engine as module
+
+    monkeypatch.setattr(module, "RESULTS", 3)
+    assert engine.run("-type f -a -exec test -e {} ;") == 15
+    assert engine.run("-type f -a -exec false ; -a -name file0") == 0
+    assert engine.run("-name file0 -a -exec true ; -o -name file1") == 12
+
+
+def test_paths_with_quotes_come_back(tmp_path):
+    path = tmp_path / "conf"
+    settings = Settings("/a`b/db", "/it's \"x\" `y` \\z").add("ignored", "/p'q")
+    settings.save(str(path))
+    assert Settings.load(str(path)) == settings
+
+
 def test_settings(tmp_path):
     path = tmp_path / "conf"
     settings = Settings("/a b/db", "/root").add("ignored", "/x/ y/").add("slow", "z").add("starts", "/s")

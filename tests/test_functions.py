@@ -1,4 +1,5 @@
 import fnmatch
+import random
 import re
 
 import pytest
@@ -75,3 +76,27 @@ def test_needle_limits():
         fuzzy.similarity(F.lit("x"), "y" * 63)
     with pytest.raises(ValueError):
         fuzzy.similarity(F.lit("x"), "")
+
+
+def test_long_needles_and_many_texts_equal_window_by_window():
+    """Needles of one to three machine words, characters of no text, texts shorter than the needle, and nulls."""
+    rng = random.Random(3)
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    def slow(text, needle):
+        text, needle = (needle, text) if len(text) < len(needle) else (text, needle)
+        windows = [text[max(0, s) : s + len(needle)] for s in range(1 - len(needle), len(text))] if needle else []
+        return max((200.0 * common(w, needle) / (len(w) + len(needle)) for w in windows), default=0.0)
+
+    for size in (1, 2, 5, 9, 63, 64, 65, 70, 130):
+        for _ in range(6):
+            needle = "".join(rng.choice("abc\0é") for _ in range(size))
+            texts = ["".join(rng.choice("abcd\0é") for _ in range(rng.choice((0, 1, 3, 20, 64, 80)))) for _ in range(4)]
+            assert fuzzy.partial_ratios([*texts, None], needle) == [*(pytest.approx(slow(t, needle)) for t in texts), None]
