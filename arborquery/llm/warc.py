@@ -35,6 +35,8 @@ from .common import map_arrow, written
 LEAST = 0
 #: Bytes of records in a package: a package is closed by the record that reaches them.
 PACKAGE_BYTES = 4 << 20
+#: Rows of the list of revisits, of 36 bytes each, that are sent to all executors at most.
+SENT = 200_000
 #: Fixed value: the date of written records, so that equal pages give equal bytes.
 DATE = "2024-01-01T00:00:00Z"
 
@@ -238,15 +240,16 @@ def pages_of(pages: DataFrame) -> DataFrame:
 def with_responses(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """The pages with refers_to: the smallest page_id of an equal payload, if that is another page's.
 
-    Revisits are found among ids and digests alone. What joins the whole pages is the list of revisits: where it is
-    small Spark sends it to them and no page moves.
+    Revisits are found among ids and digests alone. What joins the whole pages is the list of revisits: it is counted, and
+    sent to the pages where it has SENT rows at most, so that none moves.
     """
     pages = pages_of(pages)
     marked = pages.withColumn("sum", F.unhex(F.sha1("html")))
     marks = pages.filter(F.octet_length("html") >= least).select("page_id", F.unhex(F.sha1("html")).alias("sum"))
     marks = written(marks, "warc-sums")  # 28 bytes a page, read twice
     first = marks.groupBy("sum").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    revisits = marks.join(first, "sum").filter(F.col("refers_to") < F.col("page_id")).distinct()
+    revisits = written(marks.join(first, "sum").filter(F.col("refers_to") < F.col("page_id")).distinct(), "warc-revisits")
+    revisits = F.broadcast(revisits) if revisits.count() <= SENT else revisits
     return marked.join(revisits, ["page_id", "sum"], "left").select("page_id", "url", "html", "refers_to")
 
 
