@@ -144,7 +144,7 @@ class TreeReader(DataSourceReader):
                 more += [(os.path.join(path, name), path, depth + 1, True, False) for name in listing(path)]
                 opened = True
             pieces = more
-        per = max(1, -(-len(pieces) // (4 * SUBTREES)))
+        per = max(1, -(-len(pieces) // SUBTREES))
         return [Subtree(i * SPAN, pieces[a : a + per]) for i, a in enumerate(range(0, len(pieces), per))]
 
     def read(self, partition: Subtree) -> Iterator[pa.RecordBatch]:
