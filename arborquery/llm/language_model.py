@@ -13,6 +13,7 @@ unless the text begins there. The score is the sum of the ids' log10 probabiliti
 Word statistics cover every training document. Texts are taken in chunks; a chunk's distinct words with their counts go,
 packed by a hash of the word, to the buckets that add up all chunks' counts, and the totals come back to the chunk.
 So what moves is each chunk's vocabulary rather than its words, and no task holds more than a chunk or a bucket.
+The same pass over the texts gives their ids, which are written once: the network is fitted to them and scores them.
 
 Defined cases: a null or empty text is one end mark; with no training document every count is 0 and the model is
 uniform; repeated rows are counted and scored each; whole texts are scored; an empty table gives an empty result;
@@ -32,7 +33,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles
@@ -46,6 +48,8 @@ WINDOW, OVERLAP, WIDTH, HIDDEN, CLASSES = 32, 8, 16, 32, 64
 STEPS, BATCH, RATE = 1500, 128, 0.01
 #: Slots of pairs, what is taken off each pair's count for those in no slot, windows scored together.
 SLOTS, DISCOUNT, ROOM = 1 << 20, 0.5, 128
+#: Words whose ids a worker keeps, those of the first texts it meets.
+KEPT_WORDS = 500_000
 #: Bytes of text of one chunk; text characters for each bucket of the exchange, and the fewest buckets.
 CHUNK_BYTES, BUCKET_CHARS, BUCKETS = 8 << 20, 16 << 20, 128
 
@@ -72,16 +76,18 @@ _MASK = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
 class _Room:
-    """Arrays for n windows, filled anew by every step: few enough windows at a time stay in a core's cache."""
+    """Arrays for n windows, filled anew by every step: few enough windows at a time stay in a core's cache. The first
+    skip inputs of each window are only looked at: nothing is predicted after them."""
 
-    def __init__(self, n: int, kind: type = np.float32):
+    def __init__(self, n: int, kind: type = np.float32, skip: int = 0):
         new = lambda *s: np.empty(s, kind)
-        p, d = n * WINDOW, WIDTH
-        self.n, self.rows = n, np.arange(0, p * CLASSES, CLASSES)
-        self.x, self.qkv, self.a, self.sums = new(p, d), new(p, 3 * d), new(n, WINDOW, WINDOW), new(p, 1)
-        self.seen, self.h, self.z, self.e, self.total = new(n, WINDOW, d), new(p, d), new(p, HIDDEN), new(p, CLASSES), new(p, 1)
-        self.m, self.dz, self.dh, self.dqkv = new(n, WINDOW, WINDOW), new(p, HIDDEN), new(p, d), new(p, 3 * d)
-        self.mask, self.ones = _MASK.astype(kind), np.ones((max(WINDOW, CLASSES), 1), kind)
+        own, d = WINDOW - skip, WIDTH
+        p = n * own
+        self.n, self.skip, self.rows = n, skip, np.arange(0, p * CLASSES, CLASSES)
+        self.x, self.qkv, self.a, self.sums = new(n * WINDOW, d), new(n * WINDOW, 3 * d), new(n, own, WINDOW), new(p, 1)
+        self.seen, self.h, self.z, self.e, self.total = new(n, own, d), new(p, d), new(p, HIDDEN), new(p, CLASSES), new(p, 1)
+        self.m, self.dz, self.dh, self.dqkv = new(n, own, WINDOW), new(p, HIDDEN), new(p, d), new(p, 3 * d)
+        self.mask, self.ones = _MASK[skip:].astype(kind), np.ones((max(WINDOW, CLASSES), 1), kind)
 
     def heads(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x = x.reshape(self.n, WINDOW, 3 * WIDTH)
@@ -89,20 +95,21 @@ class _Room:
 
 
 def _forward(net: Network, ids: np.ndarray, target: np.ndarray, room: _Room) -> np.ndarray:
-    """The log-probability of the target class after every input of windows (n, WINDOW); the room keeps the rest."""
+    """The log-probability of the target class after every input of windows (n, WINDOW) that the room does not skip; the
+    room keeps the rest."""
     r = room
     np.take(net.embed, ids.ravel(), 0, out=r.x, mode="clip")
     r.x.reshape(-1, WINDOW, WIDTH)[:] += net.place
     np.matmul(r.x, net.qkv, out=r.qkv)
     q, k, v = r.heads(r.qkv)
-    np.matmul(q, k.transpose(0, 2, 1), out=r.a)
+    np.matmul(q[:, r.skip :], k.transpose(0, 2, 1), out=r.a)
     np.clip(r.a, -30.0, 30.0, out=r.a)
     np.exp(r.a, out=r.a)
     np.multiply(r.a, r.mask, out=r.a)
     np.matmul(r.a.reshape(-1, WINDOW), r.ones[:WINDOW], out=r.sums)
     np.matmul(r.a, v, out=r.seen)
     np.divide(r.seen.reshape(-1, WIDTH), r.sums, out=r.h)
-    r.h += r.x
+    r.h.reshape(r.n, -1, WIDTH)[:] += r.x.reshape(r.n, WINDOW, WIDTH)[:, r.skip :]
     np.matmul(r.h, net.inner, out=r.z)
     r.z += net.bias
     np.maximum(r.z, 0.0, out=r.z)
@@ -125,13 +132,15 @@ def _gradients(net: Network, ids: np.ndarray, target: np.ndarray, own: np.ndarra
     np.matmul(dy, net.outer.T, out=r.dz)
     r.dz *= r.z > 0
     np.matmul(r.dz, net.inner.T, out=r.dh)
-    outer, base, inner, bias = r.z.T @ dy, dy.sum(0), r.h.T @ r.dz, r.dz.sum(0)
+    one = np.ones((1, len(dy)), dy.dtype)
+    outer, base, inner, bias = r.z.T @ dy, (one @ dy)[0], r.h.T @ r.dz, (one @ r.dz)[0]
     # through attention: with weights a / sums, what a row passes on is taken relative to its mean
     q, k, v = r.heads(r.qkv)
     dq, dk, dv = r.heads(r.dqkv)
     g = r.dh / r.sums
     r.h -= r.x
-    mean = (r.h * g).sum(1).reshape(-1, WINDOW, 1)
+    r.h *= g
+    mean = (r.h @ r.ones[:d]).reshape(-1, WINDOW, 1)
     g = g.reshape(-1, WINDOW, d)
     np.matmul(g, v.transpose(0, 2, 1), out=r.m)
     r.m -= mean
@@ -179,14 +188,17 @@ def log10_scores(net: Network, flat: np.ndarray, first: np.ndarray) -> np.ndarra
     out += part[first[1:] - 1] - part[first[:-1]]
     padded = np.concatenate([flat, np.zeros(WINDOW + 1, flat.dtype)])
     at, scale = np.arange(WINDOW), 1 / np.log(10)
-    room = _Room(ROOM)
-    for b in range(0, len(text), ROOM):
-        span = start[b : b + ROOM, None] + at
-        if len(span) < ROOM:
-            room = _Room(len(span))
-        lp = _forward(net, padded[span], net.kind[padded[span + 1]].ravel(), room).reshape(span.shape)
-        own = (at >= low[b : b + ROOM, None]) & (at < high[b : b + ROOM, None])
-        out += np.bincount(text[b : b + ROOM], np.where(own, lp, 0.0).sum(1, dtype=np.float64), len(out)) * scale
+    for skip in (0, OVERLAP):  # windows that begin a text score all their targets, others those after the overlap
+        some = np.flatnonzero(low == skip)
+        room = _Room(ROOM, skip=skip)
+        for b in range(0, len(some), ROOM):
+            now = some[b : b + ROOM]
+            span = start[now, None] + at
+            if len(span) < ROOM:
+                room = _Room(len(span), skip=skip)
+            lp = _forward(net, padded[span], net.kind[padded[span[:, skip:] + 1]].ravel(), room).reshape(len(span), -1)
+            own = at[skip:] < high[now, None]
+            out += np.bincount(text[now], np.where(own, lp, 0.0).sum(1, dtype=np.float64), len(out)) * scale
     return out
 
 
@@ -314,11 +326,14 @@ def fit(texts: list[np.ndarray], vocabulary: int) -> Network:
 def _fitted(net: Network, flat: np.ndarray, first: np.ndarray, steps: int, rate: float, final: float, overlap: int) -> Network:
     """The network after steps of Adam, and as many as go through every window once; its rate falls to the final one."""
     rng = np.random.default_rng(7)
-    net = net._replace(**{f: getattr(net, f).copy() for f in Network._fields[:7]})
+    # the weights but for the embeddings are parts of one array
+    whole = np.concatenate([w.ravel() for w in net[1:7]])
+    parts = np.split(whole, np.cumsum([w.size for w in net[1:6]]))
+    net = net._replace(embed=net.embed.copy(), **{f: p.reshape(w.shape) for f, p, w in zip(Network._fields[1:7], parts, net[1:7], strict=True)})
     _, start, _, high = windows(first, overlap)
     flat = np.concatenate([flat, np.zeros(WINDOW + 1, flat.dtype)])
-    moments = [(np.zeros_like(w), np.zeros_like(w)) for w in net[:7]]
-    at, size = np.arange(WINDOW), min(BATCH, len(start))
+    m1, m2, e1, e2 = np.zeros_like(whole), np.zeros_like(whole), np.zeros_like(net.embed), np.zeros_like(net.embed)
+    at, size, kinds = np.arange(WINDOW), min(BATCH, len(start)), net.kind[flat]
     steps, room = max(steps, -(-len(start) // size)), _Room(size)
     order = np.empty(0, np.int64)
     for step in range(1, steps + 1):
@@ -328,19 +343,27 @@ def _fitted(net: Network, flat: np.ndarray, first: np.ndarray, steps: int, rate:
         span = start[pick, None] + at
         own = (at < high[pick, None]).astype(np.float32).reshape(-1)
         own /= own.sum()
-        _, rows, grads = _gradients(net, flat[span], net.kind[flat[span + 1]].ravel(), own, room)
+        _, rows, (g, *grads) = _gradients(net, flat[span], kinds[span + 1].ravel(), own, room)
         now = rate * (1 - step / (steps + 1)) + final
-        for i, (w, g, (m1, m2)) in enumerate(zip(net[:7], grads, moments, strict=True)):
-            if i == 0:  # of the embeddings only these change
-                m1[rows] = a = 0.9 * m1[rows] + 0.1 * g
-                m2[rows] = b = 0.99 * m2[rows] + 0.01 * g * g
-                w[rows] -= now * a / (np.sqrt(b) + 1e-8)
-            else:
-                m1 *= 0.9
-                m1 += 0.1 * g
-                m2 *= 0.99
-                m2 += 0.01 * g * g
-                w -= now * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
+        # of the embeddings only these change
+        a, b = e1.take(rows, 0), e2.take(rows, 0)
+        a *= 0.9
+        a += 0.1 * g
+        e1[rows] = a
+        b *= 0.99
+        b += 0.01 * g * g
+        e2[rows] = b
+        np.sqrt(b, out=b)
+        b += 1e-8
+        a *= now
+        a /= b
+        net.embed[rows] -= a
+        g = np.concatenate([g.ravel() for g in grads])
+        m1 *= 0.9
+        m1 += 0.1 * g
+        m2 *= 0.99
+        m2 += 0.01 * g * g
+        whole -= now * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
     return net
 
 
@@ -351,7 +374,7 @@ def vocabulary(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]
     offsets = np.append(0, np.cumsum(ends - starts))
     flat = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
     first = np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in texts)]))
-    return flat.indices.to_numpy().astype(np.int64), first, flat.dictionary.to_pylist()
+    return flat.indices.to_numpy().astype(np.int64), first, flat.dictionary.to_numpy(zero_copy_only=False).tolist()
 
 
 _WHITE = re.compile(r"[^\S ]")
@@ -368,10 +391,26 @@ class Subwords:
         self.encode = tiktoken.Encoding("subwords", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.begins = np.zeros(max(ranks.values(), default=0) + 1, bool)
         self.begins[[i for t, i in ranks.items() if t.startswith(b" ")]] = True
+        self.kept, self.kept_ids, self.kept_sizes = pa.array([], pa.binary()), np.empty(0, np.int32), np.empty(0, np.int64)
 
     def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, sizes): of each word with a space before it. Pieces end before spaces, so that all go at once, unless
-        other white space, at which the pattern looks ahead, is in a word."""
+        """(ids, sizes): of each word with a space before it, from those kept or encoded now."""
+        found = pc.fill_null(pc.index_in(pa.array(words, pa.binary()), value_set=self.kept), -1).to_numpy()
+        new = np.flatnonzero(found < 0)
+        fresh = [words[i] for i in new.tolist()]
+        flat, sizes = self._encoded(fresh)
+        at = found.astype(np.int64)
+        at[new] = len(self.kept) + np.arange(len(new))
+        flat, sizes = np.concatenate([self.kept_ids, flat]), np.concatenate([self.kept_sizes, sizes])
+        if len(sizes) <= KEPT_WORDS and len(new):
+            self.kept, self.kept_ids, self.kept_sizes = pa.concat_arrays([self.kept, pa.array(fresh, pa.binary())]), flat, sizes
+        own = sizes[at]
+        ends = np.cumsum(own)
+        return flat[np.arange(own.sum()) + np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - own), own)], own
+
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces end before spaces, so that all words go at once, unless other white space, at which the pattern looks
+        ahead, is in a word."""
         text = b"".join(b" " + w for w in words).decode()
         if not _WHITE.search(text):
             flat = np.array(self.encode(text), np.int32)
@@ -415,37 +454,35 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[_Unit]:
             yield _Unit(number.as_py(), np.frombuffer(ids := ids.as_py(), np.uint16 if len(ids) == 2 * sizes.sum() else np.int32).astype(np.int32), np.append(0, np.cumsum(sizes)), np.frombuffer(many.as_py(), np.int64))
 
 
-def _units(docs: DataFrame, units: int, path: str, pattern: str) -> DataFrame:
+def _id_type(path: str, pattern: str) -> type:
+    return np.uint16 if _subwords(path, pattern).mark < 1 << 16 else np.int32
+
+
+def _units(texts: DataFrame, units: int, width: int) -> DataFrame:
     """(unit, ids, sizes, many): the distinct texts of the training documents as ids, dealt by hash and in order."""
-    width, kind = (2, np.uint16) if _subwords(path, pattern).mark < 1 << 16 else (4, np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, seen, again = _subwords(path, pattern), set(), Counter()
+        seen, again = set(), Counter()
 
         def rows(found: list[tuple[int, bytes, int]]) -> pa.RecordBatch:
             units, ids, many = list(zip(*found, strict=True)) or ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(ids, pa.binary()), pa.array(many, pa.int64())], ["unit", "ids", "many"])
 
-        def unit(ids: bytes) -> int:
-            return int.from_bytes(blake2b(ids, digest_size=8).digest(), "big") % units
+        def unit(key: bytes) -> int:
+            return int.from_bytes(key[:8], "big") % units
 
         for batch in batches:
             found = []
-            codes, first, words = vocabulary([t.encode().lower() for t in batch.column(0).to_pylist()])
-            ids, first = subwords.texts(codes, first, *subwords.ids(words))
-            ids, first = ids.astype(kind).tobytes(), (first * width).tolist()
-            for a, b in zip(first[:-1], first[1:], strict=True):
-                ids_ = ids[a:b]
-                key = blake2b(ids_, digest_size=16).digest()
+            for ids in batch.column(0).to_pylist():
+                key = blake2b(ids, digest_size=16).digest()
                 if key in seen:  # copies do not move one by one
-                    again[ids_] += 1
+                    again[ids] += 1
                 else:
                     seen.add(key)
-                    found.append((unit(ids_), ids_, 1))
+                    found.append((unit(key), ids, 1))
             yield rows(found)
         for ids, n in again.items():
-            yield rows([(unit(ids), ids, n)])
-
+            yield rows([(unit(blake2b(ids, digest_size=16).digest()), ids, n)])
 
     def pack(table: pa.Table) -> pa.Table:
         many: Counter = Counter()
@@ -455,7 +492,7 @@ def _units(docs: DataFrame, units: int, path: str, pattern: str) -> DataFrame:
         sizes, times = np.array([len(t) // width for t in texts], np.int64), np.array([many[t] for t in texts], np.int64)
         return pa.table({"unit": table.column("unit")[:1], "ids": pa.array([b"".join(texts)], pa.binary()), "sizes": pa.array([sizes.tobytes()], pa.binary()), "many": pa.array([times.tobytes()], pa.binary())})
 
-    moved = map_arrow(docs.select("text"), run, "unit long, ids binary, many long").repartition(min(units, 4096), "unit")
+    moved = map_arrow(texts, run, "unit long, ids binary, many long").repartition(min(units, 4096), "unit")
     return written(moved.groupBy("unit").applyInArrow(pack, "unit long, ids binary, sizes binary, many binary"), "lm-units")
 
 
@@ -573,13 +610,21 @@ def _averaged(units: DataFrame, net: Network, rate: float) -> Network:
 def train(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> Network:
     """A network fitted on every training document."""
     path, pattern = path or default_vocabulary(), pattern or default_pattern()
-    docs = ids_and_texts(docs).filter(F.coalesce(fold(F.col("doc_id"), FOLDS) != HELD_OUT, F.lit(True)))
-    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    docs = _folded(docs)
+    sizes = _sizes(docs)
+    rows = _encoded(docs, sizes, path, pattern)
+    net = _trained(rows, sizes, path, pattern)
+    drop(rows)
+    return net
+
+
+def _trained(rows: DataFrame, sizes: Row, path: str, pattern: str) -> Network:
+    """A network fitted on the ids of every training document."""
     vocabulary = _subwords(path, pattern).mark + 1
-    if not n:
+    if not sizes.texts:
         return fit([], vocabulary)
-    many = -(-size // UNIT_CHARS) or 1
-    units = _units(docs, many, path, pattern)
+    many = -(-sizes.training // UNIT_CHARS) or 1
+    units = _units(rows.filter("bucket < 0 AND NOT held_out").select("ids"), many, np.dtype(_id_type(path, pattern)).itemsize)
     net = _corpus_shares(units, vocabulary)
     numbers = sorted(r.unit for r in units.select("unit").collect())
     sent = units.sparkSession.sparkContext.broadcast(net)
@@ -616,9 +661,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[byte
         yield ids, texts, held
 
 
-_COLUMNS = ["chunk", "bucket", "doc_id", "held_out", "n_tokens", "score", "data"]
-_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.binary())
-_SCHEMA = "chunk long, bucket long, doc_id long, held_out boolean, n_tokens long, score double, data binary"
+_COLUMNS = ["chunk", "bucket", "doc_id", "held_out", "n_tokens", "ids", "data"]
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary())
+_SCHEMA = "chunk long, bucket long, doc_id long, held_out boolean, n_tokens long, ids binary, data binary"
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -626,13 +671,24 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS, strict=True)], _COLUMNS)
 
 
-def _mapped(docs: DataFrame, net: Network, buckets: int, path: str, pattern: str) -> DataFrame:
+def _folded(docs: DataFrame) -> DataFrame:
+    return ids_and_texts(docs).withColumn("held_out", F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)))
+
+
+def _sizes(docs: DataFrame) -> Row:
+    """Characters of all documents; number and characters of those for training."""
+    length, own = F.length("text"), F.when(~F.col("held_out"), F.length("text"))
+    return docs.agg(F.coalesce(F.sum(length), F.lit(0)).alias("all"), F.count(own).alias("texts"), F.coalesce(F.sum(own), F.lit(0)).alias("training")).first()
+
+
+def _encoded(docs: DataFrame, sizes: Row, path: str, pattern: str) -> DataFrame:
     """For each chunk, rows of its vocabulary by bucket (words, training counts), and a row for each document (bucket
-    -1): its score and the counts of its words by their places in the chunk's vocabulary."""
-    sent = docs.sparkSession.sparkContext.broadcast(net)
+    -1, -2, ...): its ids and the counts of its words by their places in the chunk's vocabulary. Texts are encoded here alone."""
+    buckets = max(BUCKETS, sizes["all"] // BUCKET_CHARS)
+    kind = _id_type(path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, subwords = sent.value, _subwords(path, pattern)
+        subwords = _subwords(path, pattern)
         for ids, texts, held in _chunks(batches):
             chunk = uuid.uuid4().int >> 65
             codes, at, words = vocabulary(texts)
@@ -647,13 +703,14 @@ def _mapped(docs: DataFrame, net: Network, buckets: int, path: str, pattern: str
             rows = []
             for a in range(0, len(texts), 256):
                 b = min(len(texts), a + 256)
-                scores = log10_scores(net, *subwords.texts(codes[at[a] : at[b]], at[a : b + 1] - at[a], flat, sizes))
-                for i, score in zip(range(a, b), scores.tolist(), strict=True):
+                coded, first = subwords.texts(codes[at[a] : at[b]], at[a : b + 1] - at[a], flat, sizes)
+                coded = coded.astype(kind)
+                for i, x, y in zip(range(a, b), first[:-1].tolist(), first[1:].tolist(), strict=True):
                     uniq, many = np.unique(rank[codes[at[i] : at[i + 1]]], return_counts=True)
                     if not held[i]:
                         train[order[uniq]] += many
                     data = uniq.astype(np.uint32).tobytes() + many.astype(np.uint32).tobytes()
-                    rows.append((chunk, -1, ids[i], held[i], int(at[i + 1] - at[i]) + 1, score, data))
+                    rows.append((chunk, -1 - i, ids[i], held[i], int(at[i + 1] - at[i]) + 1, coded[x:y].tobytes(), data))
                 yield _batch(rows)
                 rows = []
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -662,7 +719,24 @@ def _mapped(docs: DataFrame, net: Network, buckets: int, path: str, pattern: str
                 rows.append((chunk, b, None, None, len(at), None, train[at].astype(np.int64).tobytes() + b"\n".join([words[i] for i in at.tolist()])))
             yield _batch(rows)
 
-    return map_arrow(docs, run, _SCHEMA)
+    return written(map_arrow(docs, run, _SCHEMA), "lm-rows")
+
+
+def _scores(rows: DataFrame, net: Network, kind: type) -> DataFrame:
+    """(chunk, bucket, data): the score of each document's ids."""
+    sent = rows.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = []
+            for a in range(0, batch.num_rows, 256):
+                texts = batch.column(2).slice(a, 256).to_pylist()
+                flat = np.frombuffer(b"".join(texts), kind).astype(np.int32)
+                first = np.cumsum([0, *map(len, texts)]) // np.dtype(kind).itemsize
+                scores += [s.tobytes() for s in log10_scores(sent.value, flat, first)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.binary())], ["chunk", "bucket", "counts"])
+
+    return written(map_arrow(rows.filter("bucket < 0").select("chunk", "bucket", "ids"), run, "chunk long, bucket long, counts binary"), "lm-scores")
 
 
 def _totals(table: pa.Table) -> pa.Table:
@@ -693,12 +767,12 @@ def _totals(table: pa.Table) -> pa.Table:
 def scored(docs: DataFrame, path: str | None = None, pattern: str | None = None, net: Network | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     path, pattern = path or default_vocabulary(), pattern or default_pattern()
-    net = net or train(docs, path, pattern)
-    docs = ids_and_texts(docs).withColumn("held_out", F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)))
-    size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    rows = written(_mapped(docs, net, max(BUCKETS, size // BUCKET_CHARS), path, pattern), "lm-rows")
+    docs = _folded(docs)
+    sizes = _sizes(docs)
+    rows = _encoded(docs, sizes, path, pattern)
+    scores = _scores(rows, net or _trained(rows, sizes, path, pattern), _id_type(path, pattern))
     totals = written(rows.filter("bucket >= 0").groupBy("bucket").applyInArrow(_totals, "chunk long, bucket long, counts binary, n long, v long"), "lm-totals")
-    own = rows.filter("bucket < 0").select("chunk", "doc_id", "held_out", "n_tokens", "score", "data")
+    own = rows.filter("bucket < 0").select("chunk", "bucket", "doc_id", "held_out", "n_tokens", "data")
     n, v = totals.filter("chunk = -1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     marks = own.filter("NOT held_out").count()
     n, v = n + marks, v + (marks > 0)
@@ -707,8 +781,9 @@ def scored(docs: DataFrame, path: str | None = None, pattern: str | None = None,
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(right.column("bucket").to_numpy(), kind="stable")
-        cells = right.column("counts")
-        count = np.concatenate([np.frombuffer(cells[i].as_py(), np.int64) for i in order.tolist()]) if len(order) else np.empty(0, np.int64)
+        cells, bucket = right.column("counts"), right.column("bucket").to_pylist()
+        score = {bucket[i]: float(np.frombuffer(cells[i].as_py())[0]) for i in order.tolist() if bucket[i] < 0}
+        count = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(cells[i].as_py(), np.int64) for i in order.tolist() if bucket[i] >= 0)])
         value, seen = np.log10(count + 1.0) - under, count > 0
         known, base = [], []
         for data in left.column("data"):
@@ -719,11 +794,11 @@ def scored(docs: DataFrame, path: str | None = None, pattern: str | None = None,
             {
                 "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": left.column("n_tokens"),
                 "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([int(n)] * len(known), pa.int64()),
-                "base_score": pa.array(base, pa.float64()), "score": left.column("score"),
+                "base_score": pa.array(base, pa.float64()), "score": pa.array([score[i] for i in left.column("bucket").to_pylist()], pa.float64()),
             }
         )
 
-    back = totals.filter("chunk >= 0").select("chunk", "bucket", "counts")
+    back = totals.filter("chunk >= 0").select("chunk", "bucket", "counts").unionAll(scores)
     return own.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(joined, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

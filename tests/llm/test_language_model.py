@@ -188,3 +188,38 @@ def test_ids_of_words_go_at_once():
         ids, at = subwords.texts(codes, first, *subwords.ids(distinct))
         for t, a, b in zip(texts, at[:-1], at[1:], strict=True):
             assert ids[a:b].tolist() == [subwords.mark, *(i for w in t.split() for i in subwords.encode(" " + w.decode())), subwords.mark]
+
+
+def test_inputs_before_a_windows_own_are_only_looked_at(net):
+    """What is predicted after the others is as if all were predicted; nothing is computed after those skipped."""
+    ids = np.random.default_rng(8).integers(0, 40, (5, lm.WINDOW))
+    room, target = lm._Room(5, skip=lm.OVERLAP), net.kind[ids]
+    part = lm._forward(net, ids, target[:, lm.OVERLAP :].ravel(), room).reshape(5, -1)
+    assert room.e.shape == (5 * (lm.WINDOW - lm.OVERLAP), lm.CLASSES)
+    assert part == pytest.approx(lm._forward(net, ids, target.ravel(), lm._Room(5)).reshape(5, -1)[:, lm.OVERLAP :], rel=1e-5, abs=1e-5)
+
+
+def test_words_met_before_keep_their_ids(monkeypatch):
+    """A word is encoded once by a worker, as long as there is room; its ids are the same whether kept or not."""
+    subwords, calls = lm.Subwords(lm.default_vocabulary(), lm.default_pattern()), []
+    encode = subwords.encode
+    subwords.encode = lambda text: calls.append(text) or encode(text)
+    texts = [[b"old", b"words", b"x\x0by"], [b"words", b"new", b"old", b"new"], [b"old"], []]
+    for most in (4, 100):
+        monkeypatch.setattr(lm, "KEPT_WORDS", most)
+        for words in texts:
+            flat, sizes = subwords.ids(words)
+            want = [encode(" " + w.decode()) for w in words]
+            assert flat.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
+    assert sum("old" in c for c in calls) == 1
+
+
+def test_texts_are_encoded_once(spark, odd_docs, monkeypatch):
+    """The network learns from the ids that are written for scoring: beside the sizes, one pass over the documents."""
+    monkeypatch.setattr(lm, "STEPS", 5)
+    wrote, written = [], lm.written
+    monkeypatch.setattr(lm, "written", lambda df, name: wrote.append((name, df)) or written(df, name))
+    assert lm.scored(odd_docs).count() == odd_docs.count()
+    assert [name for name, _ in wrote].count("lm-rows") == 1 and {"lm-units", "lm-scores"} < {name for name, _ in wrote}
+    reads = [name for name, df in wrote if "text" in df._jdf.queryExecution().optimizedPlan().toString()]
+    assert reads == ["lm-rows"]
